@@ -559,14 +559,16 @@ def _line_score_sql(score: str) -> str:
 
 def _fingerprint_sql(table: str, columns: dict[str, str]) -> str:
     header = ",".join(f"{name}:{kind}" for name, kind in columns.items())
-    parts = " || ".join(
-        f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR) || ';', 'N;')" for name in columns
-    )
+    texts = {
+        name: f"strlen({name}) || ':' || {name}" if kind == "string" else f"CAST({name} AS VARCHAR)"
+        for name, kind in columns.items()
+    }
+    parts = " || ';' || ".join(f"coalesce({text}, 'N')" for text in texts.values())
     lanes = ", ".join(
-        f"coalesce(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS HUGEINT)), 0) AS l{i}" for i in range(4)
+        f"coalesce(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS HUGEINT)), 0) AS l{i}" for i in range(2)
     )
     return f"""
-    SELECT substr(sha256('{header}' || '|' || n || '|' || l0 || '|' || l1 || '|' || l2 || '|' || l3), 1, 16) AS fingerprint
+    SELECT substr(sha256('{header}' || '|' || n || '|' || l0 || '|' || l1), 1, 16) AS fingerprint
     FROM (SELECT count(*) AS n, {lanes} FROM (SELECT sha256({parts}) AS h FROM {table}))"""
 
 

@@ -32,6 +32,15 @@ def touched_cells(value: Column, width: float, pad: float) -> Column:
     )
 
 
-def chebyshev(left: Sequence[Column], right: Sequence[Column]) -> Column:
-    gaps = [F.abs(a - b) for a, b in zip(left, right, strict=True)]
-    return gaps[0] if len(gaps) == 1 else F.greatest(*gaps)
+def touched_count(value: Column, width: float, pad: float) -> Column:
+    return home_cell(value + F.lit(pad), width) - home_cell(value - F.lit(pad), width) + 1
+
+
+def within(left: Sequence[str], right: Sequence[str], radius: float) -> Column:
+    """Every difference is inside the radius; the first one outside ends the comparison."""
+    return F.expr(" AND ".join(f"abs({a} - {b}) <= {radius!r}D" for a, b in zip(left, right, strict=True)))
+
+
+def chebyshev(left: Sequence[str], right: Sequence[str]) -> Column:
+    gaps = [f"abs({a} - {b})" for a, b in zip(left, right, strict=True)]
+    return F.expr(gaps[0] if len(gaps) == 1 else f"greatest({', '.join(gaps)})")

@@ -69,17 +69,21 @@ def comparable(left: T.DataType, right: T.DataType) -> bool:
     return family(left) == family(right) or is_mixed(left) or is_mixed(right)
 
 
-def missing(name: str, dtype: T.DataType) -> Column:
-    column = F.col(f"`{name}`")
+def missing_sql(name: str, dtype: T.DataType) -> str:
+    column = f"`{name}`"
     if isinstance(dtype, FLOATING):
-        return column.isNull() | F.isnan(column)
+        return f"({column} IS NULL OR isnan({column}))"
     if is_mixed(dtype):
-        return column.isNull() | column["type"].isNull() | column["value"].isNull()
-    return column.isNull()
+        return f"({column} IS NULL OR {column}.type IS NULL OR {column}.value IS NULL)"
+    return f"({column} IS NULL)"
+
+
+def missing(name: str, dtype: T.DataType) -> Column:
+    return F.expr(missing_sql(name, dtype))
 
 
-def nonfinite(name: str) -> Column:
-    return F.abs(F.col(f"`{name}`").cast("double")) == F.lit(float("inf"))
+def nonfinite_sql(name: str) -> str:
+    return f"(abs(CAST(`{name}` AS double)) = CAST('Infinity' AS double))"
 
 
 def _bounded(text: Column, label: str) -> list[Column]:

@@ -22,11 +22,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from leakscan.functions import grid, hashing, keys
 from leakscan.operators.lookup import lookup_join
-from leakscan.operators.validate import CheckedInput
+from leakscan.operators.validate import CheckedInput, check_profile, input_profile
 from leakscan.scratch import materialize
 from leakscan.settings import (
     BROADCAST_ROWS,
     CHUNK_ROWS,
+    MAX_GRID_CANDIDATES,
     MAX_GRID_COLUMNS,
     MAX_LEVELS,
     MIN_PAIR_BUDGET,
@@ -60,18 +61,17 @@ class Matches:
     ``distance`` (null without numeric features) and ``kind``.
     """
 
-    pair: SplitPair
+    checked: CheckedInput
     vectors: DataFrame
     key_columns: tuple[str, ...]
     test_rows: DataFrame
-    n_test: int
     salt_min_rows: int
 
     def rows(self) -> DataFrame:
         """One row per matched test row: ``test_id, train_id, distance, kind``."""
         found = self.vectors.drop("test_id")
         return lookup_join(
-            self.test_rows, found, self.key_columns, "inner", "n_test", self.n_test, self.salt_min_rows
+            self.test_rows, found, self.key_columns, "inner", "n_test", self.checked.n_test, self.salt_min_rows
         ).select("test_id", "train_id", "distance", "kind")
 
     def counts(self) -> DataFrame:
@@ -85,12 +85,12 @@ class Matches:
 
 
 def row_id(schema: T.StructType, id_columns: Sequence[str]) -> Column:
-    """The id column, a struct of several, or without any a digest of the whole row.
+    """The id column, a struct of several, or without any a hash of the whole row.
 
-    Rows with equal digests are equal in every column and therefore interchangeable.
+    Rows with equal content are interchangeable, so they may share an id.
     """
     if not id_columns:
-        return hashing.row_digest(schema)
+        return hashing.content_id(schema)
     columns = [F.col(f"`{name}`") for name in id_columns]
     return columns[0] if len(columns) == 1 else F.struct(*columns)
 
@@ -99,71 +99,104 @@ def classify(distance: Column, exact_atol: float) -> Column:
     return F.when(distance <= F.lit(exact_atol), "exact").otherwise("near")
 
 
-def _vector_columns(pair: SplitPair, checked: CheckedInput, schema: T.StructType) -> list[Column]:
-    columns = [F.col(f"`{name}`").cast("double").alias(f"_n{i}") for i, name in enumerate(checked.numeric)]
-    for i, name in enumerate(checked.categorical):
+def _vector_columns(
+    pair: SplitPair, numeric: Sequence[str], categorical: Sequence[str], schema: T.StructType
+) -> list[Column]:
+    columns = [F.expr(f"CAST(`{name}` AS double) AS _n{i}") for i, name in enumerate(numeric)]
+    for i, name in enumerate(categorical):
         mixed = any(keys.is_mixed(dtype) for dtype in pair.types(name))
         columns += keys.equality_key(name, schema[name].dataType, f"_c{i}", mixed)
     return columns
 
 
-def _no_matches(pair: SplitPair, schema: T.StructType) -> DataFrame:
-    id_type = T.StructType([schema["test_id"], schema["train_id"]])
+def _vector_profile(vectors: DataFrame, vector: Sequence[str]) -> DataFrame:
+    """What ``input_profile`` reports, from the collapsed vectors, so the source is scanned once."""
+    numeric = [name for name in vector if name.startswith("_n")]
+    lost = " OR ".join([f"{name} IS NULL" for name in vector] + [f"isnan({name})" for name in numeric])
+    wild = " OR ".join(f"abs({name}) = CAST('Infinity' AS double)" for name in numeric)
+    sides = []
+    for side in ("train", "test"):
+        rows = f"n_{side}"
+        sides.append(
+            vectors.where(F.col(rows) > 0).select(
+                F.lit(side).alias("side"),
+                F.col(rows).alias("n"),
+                F.expr(f"if({lost}, {rows}, 0) AS lost"),
+                F.expr(f"if({wild}, {rows}, 0) AS wild"),
+                *numeric,
+            )
+        )
+    return (
+        sides[0].unionByName(sides[1])
+        .groupBy("side")
+        .agg(
+            F.sum("n").alias("n_rows"),
+            F.sum("lost").alias("rows_with_missing"),
+            F.sum("wild").alias("rows_with_nonfinite"),
+            *[F.expr(f"max(abs({name})) AS max_abs_{i}") for i, name in enumerate(numeric)],
+        )
+    )
+
+
+def _no_matches(pair: SplitPair, collapsed: T.StructType) -> DataFrame:
     wanted = T.StructType([
-        *[f for f in schema.fields if f.name not in ("test_id", "train_id")],
-        *id_type.fields,
-        T.StructField("distance", T.DoubleType()),
-        T.StructField("kind", T.StringType()),
+        *collapsed.fields, T.StructField("distance", T.DoubleType()), T.StructField("kind", T.StringType())
     ])
-    return pair.train.sparkSession.createDataFrame([], wanted)
+    return pair.train.sparkSession.createDataFrame([], wanted).drop("n_train")
 
 
 def find_matches(
     pair: SplitPair,
-    checked: CheckedInput,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
     near_atol: float,
     exact_atol: float,
     id_columns: Sequence[str] = (),
     limits: SearchLimits = SearchLimits(),
 ) -> Matches:
-    """Nearest train vector for every test vector that has one within ``near_atol``."""
-    possible = all(keys.comparable(*pair.types(name)) for name in checked.categorical)
+    """Nearest train vector for every test vector that has one within ``near_atol``.
+
+    Raises ``InputError`` for an empty side and for missing or infinite feature values.
+    """
+    features = [*numeric, *categorical]
+    possible = all(keys.comparable(*pair.types(name)) for name in categorical)
+    checked = None
+    if not (possible and numeric):
+        checked = check_profile(input_profile(pair, features), numeric, categorical)
     if not possible:
         pair = SplitPair(pair.train, pair.train.limit(0))
 
     def columns(schema: T.StructType) -> list[Column]:
-        return [*_vector_columns(pair, checked, schema), row_id(schema, id_columns).alias("_id")]
+        return [*_vector_columns(pair, numeric, categorical, schema), row_id(schema, id_columns).alias("_id")]
 
-    # Without id columns the digest covers the given columns of each side in their own order.
     tagged = pair.tagged(columns)
     vector = [name for name in tagged.columns if name not in ("_id", TRAIN)]
     collapsed = tagged.groupBy(*vector).agg(
         F.min(F.when(F.col(TRAIN), F.col("_id"))).alias("train_id"),
         F.min(F.when(~F.col(TRAIN), F.col("_id"))).alias("test_id"),
+        F.count_if(F.col(TRAIN)).alias("n_train"),
         F.count_if(~F.col(TRAIN)).alias("n_test"),
     )
+    on_both_sides = (F.col("n_train") > 0) & (F.col("n_test") > 0)
     test_rows = pair.test.select(*columns(pair.test.schema)).withColumnRenamed("_id", "test_id")
     if not possible:
         found = _no_matches(pair, collapsed.schema)
-    elif not checked.numeric:
+    elif not numeric:
         found = materialize(
-            collapsed.where(F.col("train_id").isNotNull() & (F.col("n_test") > 0)).select(
-                *collapsed.columns, F.lit(None).cast("double").alias("distance"), F.lit("exact").alias("kind")
+            collapsed.where(on_both_sides).drop("n_train").withColumns(
+                {"distance": F.lit(None).cast("double"), "kind": F.lit("exact")}
             ),
             "copies",
         )
     else:
         vectors = materialize(collapsed, "vectors")
-        same = vectors.where(F.col("train_id").isNotNull() & (F.col("n_test") > 0)).withColumn(
-            "distance", F.lit(0.0)
-        )
-        largest = [checked.largest[name] for name in checked.numeric]
-        found = same
+        checked = check_profile(_vector_profile(vectors, vector), numeric, categorical)
+        found = vectors.where(on_both_sides).drop("n_train").withColumn("distance", F.lit(0.0))
         if near_atol > 0:
-            for level in _search(vectors, vector, largest, near_atol, limits):
+            for level in _search(vectors, vector, [checked.largest[name] for name in numeric], near_atol, limits):
                 found = found.unionByName(level)
         found = found.withColumn("kind", classify(F.col("distance"), exact_atol))
-    return Matches(pair, found, tuple(vector), test_rows, checked.n_test, limits.salt_min_rows)
+    return Matches(checked, found, tuple(vector), test_rows, limits.salt_min_rows)
 
 
 @dataclass(frozen=True)
@@ -194,23 +227,31 @@ class _Grid:
 def _choose_grid(train: DataFrame, test: DataFrame, largest: Sequence[float], radius: float):
     """Vector counts per side and the grid columns with the lowest estimated cost.
 
-    Each further column multiplies test entries by about 1.5 and divides the candidates by
-    its number of distinct cells.
+    A column divides the candidates of a test vector by its number of distinct train cells and
+    multiplies the test entries by the cells a test vector touches; both are measured. Among very
+    many columns, those that can have most cells are looked at.
     """
-    spread = [
-        F.approx_count_distinct(grid.home_cell(F.col(f"_n{i}"), grid.cell_width(radius, size)), 0.05).alias(f"_d{i}")
-        for i, size in enumerate(largest)
+    widths = [grid.cell_width(radius, size) for size in largest]
+    looked_at = sorted(range(len(largest)), key=lambda i: (-largest[i] / widths[i], i))[:MAX_GRID_CANDIDATES]
+    cells = [
+        F.approx_count_distinct(grid.home_cell(F.col(f"_n{i}"), widths[i]), 0.05).alias(f"_d{i}") for i in looked_at
+    ]
+    touched = [
+        F.avg(grid.touched_count(F.col(f"_n{i}"), widths[i], grid.padding(radius, largest[i]))).alias(f"_a{i}")
+        for i in looked_at
     ]
-    stats = train.agg(F.count(F.lit(1)).alias("n"), *spread).first()
-    n_test = test.count()
-    order = sorted(range(len(largest)), key=lambda i: (-stats[f"_d{i}"], i))
-    best, best_cost, copies, crowd = (order[0],), math.inf, 1.0, float(stats["n"])
+    ours = train.agg(F.count(F.lit(1)).alias("n"), *cells).first()
+    theirs = test.agg(F.count(F.lit(1)).alias("n"), *touched).first()
+    copies_of = {i: theirs[f"_a{i}"] or 1.0 for i in looked_at}
+    gain = {i: max(ours[f"_d{i}"], 1) / copies_of[i] for i in looked_at}
+    order = sorted(looked_at, key=lambda i: (-gain[i], i))
+    best, best_cost, copies, crowd = (order[0],), math.inf, 1.0, float(ours["n"])
     for used, i in enumerate(order[:MAX_GRID_COLUMNS], start=1):
-        copies *= 1.5
-        crowd /= max(stats[f"_d{i}"], 1)
-        if copies * (SHUFFLE_COST + crowd) < best_cost:
-            best, best_cost = tuple(order[:used]), copies * (SHUFFLE_COST + crowd)
-    return stats["n"], n_test, _Grid(radius, best, tuple(largest))
+        copies *= copies_of[i]
+        crowd /= gain[i]
+        if copies * SHUFFLE_COST + crowd < best_cost:
+            best, best_cost = tuple(order[:used]), copies * SHUFFLE_COST + crowd
+    return ours["n"], theirs["n"], _Grid(radius, best, tuple(largest))
 
 
 def _cell_counts(train: DataFrame, test: DataFrame, cells: _Grid, categories: Sequence[str]) -> DataFrame:
@@ -240,8 +281,8 @@ def _search(
 ) -> list[DataFrame]:
     """Settled test vectors, one written table per radius."""
     categories = [name for name in vector if not name.startswith("_n")]
-    train = vectors.where(F.col("train_id").isNotNull()).select(*vector, "train_id")
-    test = vectors.where(F.col("train_id").isNull()).select(*vector, "test_id", "n_test")
+    train = vectors.where(F.col("n_train") > 0).select(*vector, "train_id")
+    test = vectors.where(F.col("n_train") == 0).select(*vector, "test_id", "n_test")
 
     n_train, n_test, cells = _choose_grid(train, test, largest, near_atol)
     if n_test == 0:
@@ -311,13 +352,13 @@ def _nearest(
         ours = _chunked(ours, chunks, on, "_tc", "_qc", "train_id")
         theirs = _chunked(theirs, chunks, on, "_qc", "_tc", "test_id")
         on = [*on, "_own_tc", "_own_qc"]
-    ours = ours.select(*on, "train_id", *[F.col(name).alias(f"{name}t") for name in numeric])
-    distance = grid.chebyshev([F.col(name) for name in numeric], [F.col(f"{name}t") for name in numeric])
+    ours = ours.selectExpr(*on, "train_id", *[f"{name} AS {name}t" for name in numeric])
+    other = [f"{name}t" for name in numeric]
     return (
         theirs.join(ours, on)
-        .withColumn("distance", distance)
-        .where(F.col("distance") <= F.lit(cells.radius))
+        .where(grid.within(numeric, other, cells.radius))
+        .withColumn("distance", grid.chebyshev(numeric, other))
         .groupBy(*vector, "test_id", "n_test")
         .agg(F.min(F.struct("distance", "train_id")).alias("_best"))
-        .select(*vector, F.col("_best.train_id").alias("train_id"), "test_id", "n_test", F.col("_best.distance").alias("distance"))
+        .selectExpr(*vector, "_best.train_id AS train_id", "test_id", "n_test", "_best.distance AS distance")
     )

@@ -15,6 +15,9 @@ from leakscan.settings import UNHASHABLE
 from leakscan.sources.pair import TRAIN, SplitPair
 
 
+EMPTY = "train and test need at least one row each"
+
+
 @dataclass(frozen=True)
 class CheckedInput:
     """What the checks learned about the two sides."""
@@ -35,18 +38,18 @@ def input_profile(pair: SplitPair, features: Sequence[str]) -> DataFrame:
     numeric, _ = column_kinds(pair.train.schema, features)
 
     def columns(schema):
-        lost = [keys.missing(name, schema[name].dataType) for name in features]
-        wild = [keys.nonfinite(name) for name in numeric if keys.is_numeric(schema[name].dataType)]
+        types = {name: schema[name].dataType for name in features}
+        lost = [keys.missing_sql(name, types[name]) for name in features]
+        wild = [keys.nonfinite_sql(name) for name in numeric if keys.is_numeric(types[name])]
+        usable = {name for name in numeric if keys.is_numeric(types[name]) or keys.family(types[name]) == "bool"}
         sizes = [
-            F.abs(F.col(f"`{name}`").cast("double")).alias(f"_m{i}")
-            if keys.is_numeric(schema[name].dataType) or keys.family(schema[name].dataType) == "bool"
-            else F.lit(None).cast("double").alias(f"_m{i}")
+            f"abs(CAST({f'`{name}`' if name in usable else 'NULL'} AS double)) AS _m{i}"
             for i, name in enumerate(numeric)
         ]
         return [
-            F.greatest(F.lit(False), F.lit(False), *lost).alias("_missing"),
-            F.greatest(F.lit(False), F.lit(False), *wild).alias("_nonfinite"),
-            *sizes,
+            F.expr(" OR ".join(["false", *lost])).alias("_missing"),
+            F.expr(" OR ".join(["false", *wild])).alias("_nonfinite"),
+            *map(F.expr, sizes),
         ]
 
     return (
@@ -56,7 +59,7 @@ def input_profile(pair: SplitPair, features: Sequence[str]) -> DataFrame:
             F.count(F.lit(1)).alias("n_rows"),
             F.count_if(F.col("_missing")).alias("rows_with_missing"),
             F.count_if(F.col("_nonfinite")).alias("rows_with_nonfinite"),
-            *[F.max(f"_m{i}").alias(f"max_abs_{i}") for i in range(len(numeric))],
+            *[F.expr(f"max(_m{i}) AS max_abs_{i}") for i in range(len(numeric))],
         )
     )
 
@@ -79,11 +82,10 @@ def check_columns(pair: SplitPair, features: Sequence[str], group: str | None) -
         raise InputError(f"group column not in both tables: {group}")
 
 
-def check_inputs(
+def check_schema(
     pair: SplitPair, features: Sequence[str], group: str | None, near_atol: float, exact_atol: float
-) -> CheckedInput:
-    """Raise ``InputError`` for the first problem, in a fixed order, or describe the input."""
-    empty = InputError("train and test need at least one row each")
+) -> tuple[list[str], list[str]]:
+    """Numeric and categorical features, or ``InputError``. Reads data only to tell which error comes first."""
     try:
         if not features:
             raise InputError("name at least one feature column")
@@ -91,19 +93,30 @@ def check_inputs(
         check_columns(pair, features, group)
     except InputError:
         if pair.train.isEmpty() or pair.test.isEmpty():
-            raise empty from None
+            raise InputError(EMPTY) from None
         raise
-    sides = {row["side"]: row for row in input_profile(pair, features).collect()}
+    numeric, categorical = column_kinds(pair.train.schema, features)
+    try:
+        require_same_kinds(pair.test.schema, numeric, categorical)
+        for name in categorical:
+            if not all(keys.is_hashable(dtype) for dtype in pair.types(name)):
+                raise InputError(UNHASHABLE)
+    except InputError:
+        check_profile(input_profile(pair, features), numeric, categorical, finite=False)
+        raise
+    return numeric, categorical
+
+
+def check_profile(
+    profile: DataFrame, numeric: Sequence[str], categorical: Sequence[str], finite: bool = True
+) -> CheckedInput:
+    """Raise ``InputError`` for empty sides, missing values and infinite values, in this order."""
+    sides = {row["side"]: row for row in profile.collect() if row["n_rows"]}
     if set(sides) != {"train", "test"}:
-        raise empty
+        raise InputError(EMPTY)
     if any(row["rows_with_missing"] for row in sides.values()):
         raise InputError("feature columns contain missing values")
-    numeric, categorical = column_kinds(pair.train.schema, features)
-    require_same_kinds(pair.test.schema, numeric, categorical)
-    for name in categorical:
-        if not all(keys.is_hashable(dtype) for dtype in pair.types(name)):
-            raise InputError(UNHASHABLE)
-    if any(row["rows_with_nonfinite"] for row in sides.values()):
+    if finite and any(row["rows_with_nonfinite"] for row in sides.values()):
         raise InputError("numeric feature columns may hold finite values only")
     return CheckedInput(
         n_train=sides["train"]["n_rows"],
@@ -111,6 +124,6 @@ def check_inputs(
         numeric=tuple(numeric),
         categorical=tuple(categorical),
         largest={
-            name: max(row[f"max_abs_{i}"] for row in sides.values()) for i, name in enumerate(numeric)
+            name: max(row[f"max_abs_{i}"] or 0.0 for row in sides.values()) for i, name in enumerate(numeric)
         },
     )

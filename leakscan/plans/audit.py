@@ -11,7 +11,7 @@ from leakscan.errors import LeakageFound
 from leakscan.operators.features import resolve_features
 from leakscan.operators.match import Matches, SearchLimits, find_matches
 from leakscan.operators.overlap import OVERLAP_SCHEMA, group_overlap, group_preview
-from leakscan.operators.validate import CheckedInput, check_inputs
+from leakscan.operators.validate import check_schema
 from leakscan.settings import EXACT_ATOL, GROUP_RULE, NEAR_ATOL, PREVIEW_SIZE
 from leakscan.sources.pair import SplitPair, split_pair
 from leakscan.sources.tables import read_pair, write_findings
@@ -25,7 +25,6 @@ class SplitAudit:
     matched test row. ``group_overlap``: ``label, n_train, n_test``, one row per shared id.
     """
 
-    checked: CheckedInput
     matches: Matches
     summary: DataFrame
     row_matches: DataFrame
@@ -58,23 +57,21 @@ def audit_split(
     is exact. Group ids on both sides are reported whether or not rows match.
     """
     features = tuple(features)
-    checked = check_inputs(pair, features, group, near_atol, exact_atol)
-    matches = find_matches(pair, checked, near_atol, exact_atol, id_columns, limits)
+    numeric, categorical = check_schema(pair, features, group, near_atol, exact_atol)
+    matches = find_matches(pair, numeric, categorical, near_atol, exact_atol, id_columns, limits)
     if group is None:
         overlap = pair.train.sparkSession.createDataFrame([], OVERLAP_SCHEMA)
     else:
         overlap = group_overlap(pair, group)
     return SplitAudit(
-        checked,
         matches,
-        _summary(checked, matches, overlap, features, group, near_atol, exact_atol),
+        _summary(matches, overlap, features, group, near_atol, exact_atol),
         matches.rows(),
         overlap,
     )
 
 
 def _summary(
-    checked: CheckedInput,
     matches: Matches,
     overlap: DataFrame,
     features: Sequence[str],
@@ -98,8 +95,8 @@ def _summary(
     )
     found = F.greatest("exact_duplicate_rows", "near_duplicate_rows", "n_overlapping_groups") > 0
     return totals.select(
-        F.lit(checked.n_train).cast("bigint").alias("n_train"),
-        F.lit(checked.n_test).cast("bigint").alias("n_test"),
+        F.lit(matches.checked.n_train).cast("bigint").alias("n_train"),
+        F.lit(matches.checked.n_test).cast("bigint").alias("n_test"),
         F.array(*map(F.lit, features)).alias("feature_columns"),
         F.lit(group).cast("string").alias("group_column"),
         F.lit(float(exact_atol)).alias("exact_atol"),

@@ -35,6 +35,7 @@ MIN_PAIR_BUDGET = 20_000_000
 RADIUS_STEP = 16.0
 MAX_LEVELS = 8
 MAX_GRID_COLUMNS = 12
+MAX_GRID_CANDIDATES = 16
 # A grid cell with more candidate pairs than CHUNK_ROWS squared is cut into chunks of this many vectors.
 CHUNK_ROWS = 2048
 

@@ -40,9 +40,9 @@ def expand_vectors(df: DataFrame, column: str, size: int, prefix: str | None = N
     checked = F.when(F.size(vector) == size, vector).when(
         vector.isNotNull(), F.raise_error(F.lit(f"{column} must have {size} elements"))
     )
-    kept = [F.col(f"`{name}`") for name in df.columns if name != column]
-    return df.withColumn(column, checked).select(
-        *kept, *[vector[i].cast("double").alias(f"{prefix}_{i}") for i in range(size)]
+    kept = [f"`{name}`" for name in df.columns if name != column]
+    return df.withColumn(column, checked).selectExpr(
+        *kept, *[f"CAST(`{column}`[{i}] AS double) AS `{prefix}_{i}`" for i in range(size)]
     )
 
 

@@ -14,8 +14,8 @@ def spark():
     session = (
         SparkSession.builder.master("local[8]")
         .appName("leakscan-tests")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.default.parallelism", "8")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.default.parallelism", "2")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")

@@ -85,7 +85,7 @@ def test_result_is_free_of_partitioning(spark):
         pair = SplitPair(frame(spark, train[::-1], 2).repartition(tasks), frame(spark, test, 2).repartition(tasks))
         found = audit_split(pair, ["x0", "x1", "c"], near_atol=0.5, id_columns=["id"], limits=PATHS["levels"])
         results.append(sorted(map(tuple, found.row_matches.collect())))
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[0] == results[1] and results[0]
 
 
