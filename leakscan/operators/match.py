@@ -14,9 +14,10 @@ train and test vectors that meet chunk by chunk in separate tasks. No candidate
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -39,6 +40,8 @@ from leakscan.sources.pair import TRAIN, SplitPair
 
 SHUFFLE_COST = 20.0
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class SearchLimits:
@@ -69,7 +72,7 @@ class Matches:
 
     def rows(self) -> DataFrame:
         """One row per matched test row: ``test_id, train_id, distance, kind``."""
-        found = self.vectors.drop("test_id")
+        found = self.vectors.drop("test_id") if "test_id" in self.test_rows.columns else self.vectors
         return lookup_join(
             self.test_rows, found, self.key_columns, "inner", "n_test", self.checked.n_test, self.salt_min_rows
         ).select("test_id", "train_id", "distance", "kind")
@@ -84,13 +87,8 @@ class Matches:
         ])
 
 
-def row_id(schema: T.StructType, id_columns: Sequence[str]) -> Column:
-    """The id column, a struct of several, or without any a hash of the whole row.
-
-    Rows with equal content are interchangeable, so they may share an id.
-    """
-    if not id_columns:
-        return hashing.content_id(schema)
+def row_id(id_columns: Sequence[str]) -> Column:
+    """The id column, or a struct of several."""
     columns = [F.col(f"`{name}`") for name in id_columns]
     return columns[0] if len(columns) == 1 else F.struct(*columns)
 
@@ -156,7 +154,8 @@ def find_matches(
 ) -> Matches:
     """Nearest train vector for every test vector that has one within ``near_atol``.
 
-    Raises ``InputError`` for an empty side and for missing or infinite feature values.
+    Without id columns only the feature columns are read, and a row is known by the hash of its
+    feature vector. Raises ``InputError`` for an empty side and for missing or infinite values.
     """
     features = [*numeric, *categorical]
     possible = all(keys.comparable(*pair.types(name)) for name in categorical)
@@ -167,16 +166,25 @@ def find_matches(
         pair = SplitPair(pair.train, pair.train.limit(0))
 
     def columns(schema: T.StructType) -> list[Column]:
-        return [*_vector_columns(pair, numeric, categorical, schema), row_id(schema, id_columns).alias("_id")]
+        ids = [row_id(id_columns).alias("_id")] if id_columns else []
+        return [*_vector_columns(pair, numeric, categorical, schema), *ids]
 
     tagged = pair.tagged(columns)
     vector = [name for name in tagged.columns if name not in ("_id", TRAIN)]
-    collapsed = tagged.groupBy(*vector).agg(
-        F.min(F.when(F.col(TRAIN), F.col("_id"))).alias("train_id"),
-        F.min(F.when(~F.col(TRAIN), F.col("_id"))).alias("test_id"),
-        F.count_if(F.col(TRAIN)).alias("n_train"),
-        F.count_if(~F.col(TRAIN)).alias("n_test"),
-    )
+    counts = {"n_train": F.count_if(F.col(TRAIN)), "n_test": F.count_if(~F.col(TRAIN))}
+    if id_columns:
+        lowest = {
+            "train_id": F.min(F.when(F.col(TRAIN), F.col("_id"))),
+            "test_id": F.min(F.when(~F.col(TRAIN), F.col("_id"))),
+        }
+    else:
+        lowest = {}
+    collapsed = tagged.groupBy(*vector).agg(*[value.alias(name) for name, value in {**lowest, **counts}.items()])
+    if not id_columns:
+        content = hashing.content_id(collapsed.select(*vector).schema)
+        collapsed = collapsed.withColumns({
+            f"{side}_id": F.when(F.col(f"n_{side}") > 0, content) for side in ("train", "test")
+        }).select(*vector, "train_id", "test_id", *counts)
     on_both_sides = (F.col("n_train") > 0) & (F.col("n_test") > 0)
     test_rows = pair.test.select(*columns(pair.test.schema)).withColumnRenamed("_id", "test_id")
     if not possible:
@@ -201,11 +209,18 @@ def find_matches(
 
 @dataclass(frozen=True)
 class _Grid:
-    """A radius and the numeric columns whose cells are join keys at that radius."""
+    """A radius and the numeric columns whose cells are join keys at that radius.
+
+    ``spare`` lists further columns that could join the grid, the most selective first.
+    """
 
     radius: float
     columns: tuple[int, ...]
     largest: tuple[float, ...]
+    spare: tuple[int, ...] = ()
+
+    def wider(self) -> _Grid:
+        return replace(self, columns=(*self.columns, self.spare[0]), spare=self.spare[1:])
 
     def keys(self) -> list[str]:
         return [f"_g{i}" for i in self.columns]
@@ -251,7 +266,8 @@ def _choose_grid(train: DataFrame, test: DataFrame, largest: Sequence[float], ra
         crowd /= gain[i]
         if copies * SHUFFLE_COST + crowd < best_cost:
             best, best_cost = tuple(order[:used]), copies * SHUFFLE_COST + crowd
-    return ours["n"], theirs["n"], _Grid(radius, best, tuple(largest))
+    spare = tuple(i for i in order[len(best) : MAX_GRID_COLUMNS] if gain[i] > 1.0)
+    return ours["n"], theirs["n"], _Grid(radius, best, tuple(largest), spare)
 
 
 def _cell_counts(train: DataFrame, test: DataFrame, cells: _Grid, categories: Sequence[str]) -> DataFrame:
@@ -276,6 +292,23 @@ def _pair_work(counts: DataFrame, chunk_rows: int) -> tuple[float, int]:
     return row["work"], row["hot"]
 
 
+def _measured(
+    train: DataFrame, test: DataFrame, cells: _Grid, categories: Sequence[str], budget: float, limits: SearchLimits
+) -> tuple[_Grid, float, int]:
+    """The grid with its measured work; it gets more columns while they halve work above the budget.
+
+    Estimates assume that values spread evenly. Clustered data shows only in the measured cells.
+    """
+    work, hot = _pair_work(_cell_counts(train, test, cells, categories), limits.chunk_rows)
+    while work > budget and cells.spare:
+        wider = cells.wider()
+        less, fewer = _pair_work(_cell_counts(train, test, wider, categories), limits.chunk_rows)
+        if less > work / 2:
+            break
+        cells, work, hot = wider, less, fewer
+    return cells, work, hot
+
+
 def _search(
     vectors: DataFrame, vector: Sequence[str], largest: Sequence[float], near_atol: float, limits: SearchLimits
 ) -> list[DataFrame]:
@@ -291,18 +324,19 @@ def _search(
     if float(n_train) * n_test <= min(budget, limits.chunk_rows**2):
         return [materialize(_nearest(train, test, cells, categories, vector), "near")]
 
-    plan = [(cells, *_pair_work(_cell_counts(train, test, cells, categories), limits.chunk_rows))]
+    plan = [_measured(train, test, cells, categories, budget, limits)]
     while plan[0][1] > budget and len(plan) < limits.max_levels:
         _, _, finer = _choose_grid(train, test, largest, plan[0][0].radius / RADIUS_STEP)
-        work, hot = _pair_work(_cell_counts(train, test, finer, categories), limits.chunk_rows)
-        if work >= plan[0][1]:
+        step = _measured(train, test, finer, categories, budget, limits)
+        if step[1] >= plan[0][1]:
             break
-        plan.insert(0, (finer, work, hot))
+        plan.insert(0, step)
 
     settled = []
-    for step, (cells, _, hot) in enumerate(plan):
+    for step, (cells, work, hot) in enumerate(plan):
         if step > 0:
-            _, hot = _pair_work(_cell_counts(train, test, cells, categories), limits.chunk_rows)
+            work, hot = _pair_work(_cell_counts(train, test, cells, categories), limits.chunk_rows)
+        log.info("radius %g, grid on %s: %.0f candidate pairs, %d hot cells", cells.radius, cells.keys(), work, hot)
         chunks = None
         if hot:
             chunks = _chunk_table(_cell_counts(train, test, cells, categories), limits.chunk_rows)

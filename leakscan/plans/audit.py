@@ -54,7 +54,8 @@ def audit_split(
 
     A test row matches a train row that equals it in every categorical feature and lies
     within ``near_atol`` in the largest numeric difference; up to ``exact_atol`` the match
-    is exact. Group ids on both sides are reported whether or not rows match.
+    is exact. Group ids on both sides are reported whether or not rows match. Give
+    ``id_columns`` to have matches named by row; else they are named by feature vector.
     """
     features = tuple(features)
     numeric, categorical = check_schema(pair, features, group, near_atol, exact_atol)

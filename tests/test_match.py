@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from leakscan import SearchLimits, SplitPair, audit_split
+from leakscan.operators import match
+from leakscan.scratch import materialize
 
 PATHS = {
     "plain": SearchLimits(),
@@ -56,13 +58,15 @@ def frame(spark, rows, width):
     (1, 0.5, "plain"), (2, 0.0, "plain"), (3, 0.001, "guarded"), (2, 0.5, "chunked"), (1, 2.0, "levels"),
     (4, 0.5, "levels"), (2, 2.0, "shuffled chunks"), (2, 0.5, "salted"),
 ])
-def test_search_equals_brute_force(spark, width, atol, path):
+def test_search_equals_brute_force(spark, monkeypatch, width, atol, path):
     rng = np.random.default_rng(width * 100 + int(atol * 10))
     train, test = draw(rng, 120, width, atol), draw(rng, 60, width, atol)
     # One vector holds a third of each side.
     train += [(1000 + i, train[0][1], train[0][2]) for i in range(60)]
     test += [(1000 + i, test[0][1], test[0][2]) for i in range(30)]
     expected = brute_force(train, test, atol)
+    steps = []
+    monkeypatch.setattr(match, "materialize", lambda df, name: steps.append(name) or materialize(df, name))
     features = [f"x{j}" for j in range(width)] + ["c"]
     audit = audit_split(
         SplitPair(frame(spark, train, width), frame(spark, test, width).repartition(5)), features,
@@ -74,6 +78,8 @@ def test_search_equals_brute_force(spark, width, atol, path):
     summary = audit.summary.first()
     assert summary.exact_duplicate_rows == sum(d == 0 for d, _ in expected.values())
     assert summary.near_duplicate_rows == sum(d > 0 for d, _ in expected.values())
+    assert "chunk" not in path or "hot_cells" in steps
+    assert (steps.count("near") > 1) == (path == "levels")
 
 
 def test_result_is_free_of_partitioning(spark):
