@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from leakscan.functions import grid, hashing, keys
 from leakscan.operators.lookup import lookup_join
 from leakscan.operators.validate import CheckedInput, check_profile, input_profile
-from leakscan.scratch import materialize
+from leakscan.scratch import discard, materialize
 from leakscan.settings import (
     BROADCAST_ROWS,
     CHUNK_ROWS,
@@ -248,26 +248,33 @@ def _choose_grid(train: DataFrame, test: DataFrame, largest: Sequence[float], ra
     """
     widths = [grid.cell_width(radius, size) for size in largest]
     looked_at = sorted(range(len(largest)), key=lambda i: (-largest[i] / widths[i], i))[:MAX_GRID_CANDIDATES]
-    cells = [
-        F.approx_count_distinct(grid.home_cell(F.col(f"_n{i}"), widths[i]), 0.05).alias(f"_d{i}") for i in looked_at
-    ]
-    touched = [
-        F.avg(grid.touched_count(F.col(f"_n{i}"), widths[i], grid.padding(radius, largest[i]))).alias(f"_a{i}")
-        for i in looked_at
-    ]
-    ours = train.agg(F.count(F.lit(1)).alias("n"), *cells).first()
-    theirs = test.agg(F.count(F.lit(1)).alias("n"), *touched).first()
-    copies_of = {i: theirs[f"_a{i}"] or 1.0 for i in looked_at}
-    gain = {i: max(ours[f"_d{i}"], 1) / copies_of[i] for i in looked_at}
+    cells = {i: grid.home_cell(F.col(f"_n{i}"), widths[i]) for i in looked_at}
+    touched = {
+        i: grid.touched_count(F.col(f"_n{i}"), widths[i], grid.padding(radius, largest[i])) for i in looked_at
+    }
+    values = [f"_n{i}" for i in looked_at]
+    stats = (
+        train.selectExpr(*values, f"true AS {TRAIN}")
+        .unionByName(test.selectExpr(*values, f"false AS {TRAIN}"))
+        .agg(
+            F.count_if(F.col(TRAIN)).alias("n_train"),
+            F.count_if(~F.col(TRAIN)).alias("n_test"),
+            *[F.approx_count_distinct(F.when(F.col(TRAIN), cells[i]), 0.05).alias(f"_d{i}") for i in looked_at],
+            *[F.avg(F.when(~F.col(TRAIN), touched[i])).alias(f"_a{i}") for i in looked_at],
+        )
+        .first()
+    )
+    copies_of = {i: stats[f"_a{i}"] or 1.0 for i in looked_at}
+    gain = {i: max(stats[f"_d{i}"], 1) / copies_of[i] for i in looked_at}
     order = sorted(looked_at, key=lambda i: (-gain[i], i))
-    best, best_cost, copies, crowd = (order[0],), math.inf, 1.0, float(ours["n"])
+    best, best_cost, copies, crowd = (order[0],), math.inf, 1.0, float(stats["n_train"])
     for used, i in enumerate(order[:MAX_GRID_COLUMNS], start=1):
         copies *= copies_of[i]
         crowd /= gain[i]
         if copies * SHUFFLE_COST + crowd < best_cost:
             best, best_cost = tuple(order[:used]), copies * SHUFFLE_COST + crowd
     spare = tuple(i for i in order[len(best) : MAX_GRID_COLUMNS] if gain[i] > 1.0)
-    return ours["n"], theirs["n"], _Grid(radius, best, tuple(largest), spare)
+    return stats["n_train"], stats["n_test"], _Grid(radius, best, tuple(largest), spare)
 
 
 def _cell_counts(train: DataFrame, test: DataFrame, cells: _Grid, categories: Sequence[str]) -> DataFrame:
@@ -337,15 +344,16 @@ def _search(
         if step > 0:
             work, hot = _pair_work(_cell_counts(train, test, cells, categories), limits.chunk_rows)
         log.info("radius %g, grid on %s: %.0f candidate pairs, %d hot cells", cells.radius, cells.keys(), work, hot)
-        chunks = None
-        if hot:
-            chunks = _chunk_table(_cell_counts(train, test, cells, categories), limits.chunk_rows)
-            if hot <= limits.broadcast_rows:
-                chunks = F.broadcast(chunks)
-        level = materialize(_nearest(train, test, cells, categories, vector, chunks), "near")
+        chunks = _chunk_table(_cell_counts(train, test, cells, categories), limits.chunk_rows) if hot else None
+        hinted = F.broadcast(chunks) if hot and hot <= limits.broadcast_rows else chunks
+        level = materialize(_nearest(train, test, cells, categories, vector, hinted), "near")
         settled.append(level)
+        rest = test
         if step + 1 < len(plan):
-            test = materialize(test.join(level.select("test_id"), "test_id", "left_anti"), "unsettled")
+            rest = materialize(test.join(level.select("test_id"), "test_id", "left_anti"), "unsettled")
+        discard(*[table for table in (chunks, test) if table is not None and table is not rest])
+        test = rest
+    discard(test)
     return settled
 
 

@@ -13,19 +13,24 @@ from pyspark.sql import DataFrame, Window, functions as F
 from leakscan.errors import InputError
 from leakscan.functions.hashing import order_key
 from leakscan.operators.lookup import lookup_join
-from leakscan.scratch import materialize
+from leakscan.scratch import discard, materialize
 from leakscan.settings import BROADCAST_ROWS, DEFAULT_SEED, RANK_BUCKET_ROWS, SALT_MIN_ROWS, TEST_SHARE
 
 DIGITS_PER_STEP = 3
 
 
+def _check_share(share: float) -> None:
+    if not 0 < share < 1:
+        raise ValueError(f"the test share must lie between 0 and 1: {share}")
+
+
 def _cutoffs(ranked: DataFrame, wanted: DataFrame, largest: int, n_classes: int, bucket_rows: int) -> DataFrame:
     """``_class, _cut_key, _cut_id``: the ``take``-th smallest (key, id) of each class.
 
     ``ranked``: ``_class, _key, _id``; ``wanted``: ``_class, take`` with ``take > 0``. Histograms over key
     prefixes narrow each class to one bucket of about ``bucket_rows`` ids, which a window then ranks.
     """
-    digits = 0
+    digits, buckets = 0, []
     while largest / 16**digits > bucket_rows:
         narrowed = _inside(ranked, wanted, digits, n_classes)
         digits += DIGITS_PER_STEP
@@ -35,18 +40,22 @@ def _cutoffs(ranked: DataFrame, wanted: DataFrame, largest: int, n_classes: int,
             .count()
             .withColumn("_upto", F.sum("count").over(upto))
         )
-        wanted = materialize(
+        buckets.append(materialize(
             histogram.where((F.col("_upto") >= F.col("take")) & (F.col("_upto") - F.col("count") < F.col("take")))
             .select("_class", "_prefix", (F.col("take") - F.col("_upto") + F.col("count")).alias("take")),
             "cut_bucket",
-        )
+        ))
+        wanted = buckets[-1]
     place = Window.partitionBy("_class").orderBy("_key", "_id")
-    return (
+    found = materialize(
         _inside(ranked, wanted, digits, n_classes)
         .withColumn("_place", F.row_number().over(place))
         .where(F.col("_place") == F.col("take"))
-        .select("_class", F.col("_key").alias("_cut_key"), F.col("_id").alias("_cut_id"))
+        .select("_class", F.col("_key").alias("_cut_key"), F.col("_id").alias("_cut_id")),
+        "cutoffs",
     )
+    discard(*buckets)
+    return found
 
 
 def _inside(ranked: DataFrame, wanted: DataFrame, digits: int, n_classes: int) -> DataFrame:
@@ -94,6 +103,7 @@ def stratified_row_split(
 
     ``id_column`` must be unique and ``target`` must not be null.
     """
+    _check_share(share)
     label = F.col(f"`{target}`")
     ident = F.col(f"`{id_column}`")
     if not table.where(label.isNull()).isEmpty():
@@ -104,7 +114,7 @@ def stratified_row_split(
         raise InputError("the table has no rows to split")
     ranked = table.select(label.alias("_class"), order_key(seed, ident).alias("_key"), ident.alias("_id"))
     wanted = sizes.where(F.col("take") > 0).select("_class", "take")
-    cuts = materialize(_cutoffs(ranked, wanted, stats["largest"], stats["k"], bucket_rows), "cutoffs")
+    cuts = _cutoffs(ranked, wanted, stats["largest"], stats["k"], bucket_rows)
     cuts = sizes.join(cuts, "_class", "left").drop("take")
     if stats["k"] <= BROADCAST_ROWS:
         rows = table.withColumn("_class", label).join(F.broadcast(cuts), "_class", "left")
@@ -126,6 +136,7 @@ def group_split(
     bucket_rows: int = RANK_BUCKET_ROWS,
 ) -> DataFrame:
     """Add ``split``: ``ceil(share * groups)`` whole groups are ``test``. Ids must not be null."""
+    _check_share(share)
     ident = F.col(f"`{group}`")
     groups = materialize(
         table.select(ident.alias("_id")).distinct().select(
@@ -140,7 +151,9 @@ def group_split(
         raise InputError("the table has no rows to split")
     take = math.ceil(share * stats["n"])
     wanted = table.sparkSession.range(1).select(F.lit(0).alias("_class"), F.lit(take).cast("bigint").alias("take"))
-    cut = _cutoffs(groups, wanted, stats["n"], 1, bucket_rows).first()
+    found = _cutoffs(groups, wanted, stats["n"], 1, bucket_rows)
+    cut = found.first()
+    discard(groups, found)
     key = order_key(seed, ident)
     inside = (key < F.lit(cut["_cut_key"])) | ((key == F.lit(cut["_cut_key"])) & (ident <= F.lit(cut["_cut_id"])))
     return table.withColumn(into, F.when(inside, "test").otherwise("train"))

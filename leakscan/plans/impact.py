@@ -22,7 +22,7 @@ from leakscan.operators.prepare import (
 )
 from leakscan.operators.splits import group_split, stratified_row_split
 from leakscan.plans.audit import audit_both_splits
-from leakscan.scratch import materialize
+from leakscan.scratch import discard, materialize
 from leakscan.settings import (
     DEFAULT_SEED,
     FOREST_BINS,
@@ -165,7 +165,9 @@ def score_model(prepared: DataFrame, protocol: Protocol, settings: ModelSettings
     model = _estimator(protocol, n_train, settings).fit(train)
     test = prepared.where(F.col("split") == "test")
     scored = model.transform(test).select(vector_to_array("probability")[1].alias("score"), "y")
-    return binary_metrics(scored).select(
+    metrics = binary_metrics(scored)
+    discard(prepared)
+    return metrics.select(
         F.lit(protocol.key).alias("key"),
         F.lit(protocol.title).alias("title"),
         F.lit(protocol.split).alias("split"),

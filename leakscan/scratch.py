@@ -7,6 +7,7 @@ the optimizer can use when it decides on a broadcast.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -16,18 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 _local_root: str | None = None
-_written: list[str] = []
+_written: list[tuple[DataFrame, object, object]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     global _local_root
-    configured = spark.conf.get(SETTING, None)
+    configured = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    context_dir = spark.sparkContext.getCheckpointDir()
-    if context_dir:
-        return context_dir.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {SETTING} to a folder that every executor can reach")
     if _local_root is None:
@@ -41,15 +39,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/leakscan/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release_scratch(spark: SparkSession) -> int:
-    """Delete the tables written so far by this process; results built on them stop working."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    removed = 0
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop()).getParent()
-        removed += bool(path.getFileSystem(hadoop).delete(path, True))
-    return removed
+    table = spark.read.schema(df.schema).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    _written.append((table, folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())))
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later step reads. Other DataFrames are left alone."""
+    gone = {id(table) for table in tables}
+    kept = []
+    for entry in _written:
+        if id(entry[0]) in gone:
+            entry[2].delete(entry[1], True)
+        else:
+            kept.append(entry)
+    _written[:] = kept
+
+
+def release_scratch() -> int:
+    """Delete every table this process still keeps; results that read them stop working."""
+    count = len(_written)
+    discard(*[entry[0] for entry in _written])
+    return count
+
+
+def _release_at_exit() -> None:
+    with contextlib.suppress(Exception):
+        release_scratch()
+
+
+atexit.register(_release_at_exit)

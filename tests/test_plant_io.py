@@ -21,7 +21,7 @@ from leakscan import (
     split_pair,
     stratified_row_split,
 )
-from leakscan.scratch import scratch_root
+from leakscan import scratch
 
 EXACT, NEAR, SHARED = 11, 9, ("SHARE0", "SHARE1", "SHARE2", "SHARE3", "SHARE4")
 FEATURES = ["x0", "x1", "x2", "site"]
@@ -180,15 +180,34 @@ def test_expanded_vectors(spark):
         expand_vectors(frame, "v", 3).collect()
 
 
-def test_scratch_folder_follows_the_session(spark, tmp_path):
-    spark.conf.set("spark.sql.leakscan.unused", "x")
-    assert scratch_root(spark)
-    folder = str(tmp_path / "shared")
-    try:
-        spark.conf.set("spark.checkpoint.dir", folder)
-    except Exception:
-        pytest.skip("this Spark fixes the setting at start")
-    try:
-        assert scratch_root(spark) == folder
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_scratch_tables_follow_the_session_and_can_be_released(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "shared"
+    monkeypatch.setattr(scratch, "scratch_root", lambda _: str(folder))
+    first, second = (scratch.materialize(spark.range(5), name) for name in ("first", "second"))
+    assert first.count() == 5
+    assert len(list((folder / "leakscan").iterdir())) == 2
+    scratch.discard(first, spark.range(1))
+    assert len(list((folder / "leakscan").iterdir())) == 1
+    assert second.count() == 5
+    scratch.discard(second)
+    assert not list((folder / "leakscan").iterdir())
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        conf = {}
+
+        def getCheckpointDir(self):
+            return None
+
+        def get(self, name, default):
+            return self.conf.get(name, default)
+
+    class Session:
+        conf = sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.scratch_root(Session())
+    Context.conf["spark.checkpoint.dir"] = "hdfs:///shared/"
+    assert scratch.scratch_root(Session()) == "hdfs:///shared"
