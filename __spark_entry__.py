@@ -177,6 +177,18 @@ def audit_summary_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(audit.summary)
 
 
+def default_features_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features are all columns but group and target."""
+    parts = _read(spark, sf_dir, "part")
+    split = ls.stratified_row_split(parts, "p_partkey", "p_type").drop("p_partkey", "p_name")
+    pair = ls.split_pair(split)
+    features = ls.resolve_features(pair, group="p_brand", target="p_type")
+    summary = ls.audit_split(pair, features, "p_brand", near_atol=0.25).summary
+    return _flat(summary).select(
+        "n_train", "n_test", "feature_columns", "exact_duplicate_rows", "near_duplicate_rows", "n_overlapping_groups"
+    )
+
+
 def audit_both_splits_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = ls.stratified_row_split(_read(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus", into="by_row")
     orders = ls.group_split(orders, "o_custkey", into="by_group")
@@ -406,6 +418,7 @@ _QUERIES = (
     copied_documents,
     near_embeddings,
     audit_summary_orders,
+    default_features_part,
     audit_both_splits_orders,
     csv_audit_orders,
     stratified_split_orders,
@@ -648,6 +661,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT test_id, train_id, round(d, 6) AS distance, CASE WHEN d <= 1e-8 THEN 'exact' ELSE 'near' END AS kind
             FROM best""",
         "audit_summary_orders": _order_summary(order_rows, 5.0),
+        "default_features_part": f"""
+            WITH rows AS (SELECT * FROM {_stratified("part", "p_partkey", "p_type")}),
+            best AS (SELECT q.p_partkey, min(greatest(abs(q.p_size - t.p_size), abs(q.p_retailprice - t.p_retailprice))) AS d
+                     FROM rows q JOIN rows t ON q.split = 'test' AND t.split = 'train'
+                      AND abs(q.p_size - t.p_size) <= 0.25 AND abs(q.p_retailprice - t.p_retailprice) <= 0.25
+                     GROUP BY q.p_partkey)
+            SELECT count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test,
+                   'p_size,p_retailprice' AS feature_columns,
+                   (SELECT count(*) FROM best WHERE d <= 1e-8) AS exact_duplicate_rows,
+                   (SELECT count(*) FROM best WHERE d > 1e-8) AS near_duplicate_rows,
+                   (SELECT count(*) FROM ({_overlap("rows", "p_brand", "id")})) AS n_overlapping_groups
+            FROM rows""",
         "audit_both_splits_orders": f"""
             {_order_summary(by_row, 1.0, "'random' AS split_kind,")}
             UNION ALL {_order_summary(_grouped("orders", "o_custkey"), 1.0, "'group' AS split_kind,")}""",
