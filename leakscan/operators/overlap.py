@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from leakscan.functions import keys
 from leakscan.operators.lookup import lookup_join
+from leakscan.scratch import materialize
 from leakscan.settings import PREVIEW_SIZE, SALT_MIN_ROWS
 from leakscan.sources.pair import TRAIN, SplitPair
 
@@ -72,7 +73,7 @@ def rows_in_overlap(pair: SplitPair, group: str, side: str = "test", salt_min_ro
     if side not in ("train", "test"):
         raise ValueError(f"unknown side: {side}")
     rows = pair.train if side == "train" else pair.test
-    ids = shared_ids(pair, group).select("group_id", F.col(f"n_{side}").alias("_n"))
+    ids = materialize(shared_ids(pair, group).select("group_id", F.col(f"n_{side}").alias("_n")), "shared_ids")
     dtype = rows.schema[group].dataType
     value = keys.group_key(group, dtype, _as_mixed(pair, group))
     keyed = rows.withColumn("group_id", F.when(~keys.missing(group, dtype), value))

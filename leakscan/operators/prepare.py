@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from leakscan.errors import InputError
 from leakscan.operators.lookup import lookup_join
+from leakscan.scratch import materialize
 from leakscan.settings import ENCODING_SMOOTHING, SALT_MIN_ROWS
 
 POPULATIONS = {"all": "all rows", "train": "train only"}
@@ -32,17 +33,24 @@ def fit_target_encoding(
 ) -> tuple[DataFrame, float]:
     """Per-code shrunk mean of the target as ``code, encoded, n``, and the overall mean."""
     label = F.col(f"`{target}`").cast("double")
-    totals = rows.agg(
-        F.avg(label).alias("mean"), F.count_if(label.isNull() | F.isnan(label)).alias("missing")
+    per_code = materialize(
+        rows.select(*_code_columns(code), label.alias("_y"))
+        .groupBy("_code", "_no_code")
+        .agg(
+            F.sum("_y").alias("_sum"),
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("_y").isNull() | F.isnan("_y")).alias("_missing"),
+        ),
+        "codes",
+    )
+    totals = per_code.agg(
+        F.sum("_sum").alias("sum"), F.sum("n").alias("n"), F.sum("_missing").alias("missing")
     ).first()
     if totals["missing"]:
         raise InputError(f"target column contains missing values: {target}")
-    if totals["mean"] is None:
+    if not totals["n"]:
         raise InputError("an encoding needs at least one row")
-    mean = totals["mean"]
-    per_code = rows.select(*_code_columns(code), label.alias("_y")).groupBy("_code", "_no_code").agg(
-        F.sum("_y").alias("_sum"), F.count(F.lit(1)).alias("n")
-    )
+    mean = totals["sum"] / totals["n"]
     encoded = (F.col("_sum") + F.lit(smoothing * mean)) / (F.col("n") + F.lit(float(smoothing)))
     return per_code.select(
         F.when(~F.col("_no_code"), F.col("_code")).alias("code"), encoded.alias("encoded"), "n"

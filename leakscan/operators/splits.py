@@ -70,18 +70,17 @@ def _inside(ranked: DataFrame, wanted: DataFrame, digits: int, n_classes: int) -
 def class_sizes(table: DataFrame, target: str, share: float = TEST_SHARE) -> DataFrame:
     """``_class, n, take``: test rows per class, floor of the share first, then largest remainders."""
     counts = table.groupBy(F.col(f"`{target}`").alias("_class")).count().withColumnRenamed("count", "n")
-    n_rows = counts.agg(F.sum("n")).scalar()
-    n_test = F.ceil(n_rows * F.lit(share)).cast("decimal(18,0)")
+    # One row per class, so one window task holds them.
+    everything = Window.partitionBy(F.lit(0))
     product = F.col("n").cast("decimal(18,0)") * F.col("_n_test")
     exact = (
-        counts.withColumn("_n_test", n_test)
-        .withColumn("_n_rows", n_rows)
+        counts.withColumn("_n_rows", F.sum("n").over(everything))
+        .withColumn("_n_test", F.ceil(F.col("_n_rows") * F.lit(share)).cast("decimal(18,0)"))
         .withColumn("_left", (product % F.col("_n_rows").cast("decimal(18,0)")).cast("decimal(38,0)"))
         .withColumn(
             "_base", ((product - F.col("_left")) / F.col("_n_rows").cast("decimal(18,0)")).cast("bigint")
         )
     )
-    everything = Window.partitionBy(F.lit(0))
     order = everything.orderBy(F.desc("_left"), F.col("_class").cast("string"))
     spare = F.col("_n_test").cast("bigint") - F.sum("_base").over(everything)
     return exact.withColumn("_turn", F.row_number().over(order)).select(

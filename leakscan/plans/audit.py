@@ -12,6 +12,7 @@ from leakscan.operators.features import resolve_features
 from leakscan.operators.match import Matches, SearchLimits, find_matches
 from leakscan.operators.overlap import OVERLAP_SCHEMA, group_overlap, group_preview
 from leakscan.operators.validate import check_schema
+from leakscan.scratch import materialize
 from leakscan.settings import EXACT_ATOL, GROUP_RULE, NEAR_ATOL, PREVIEW_SIZE
 from leakscan.sources.pair import SplitPair, split_pair
 from leakscan.sources.tables import read_pair, write_findings
@@ -63,7 +64,7 @@ def audit_split(
     if group is None:
         overlap = pair.train.sparkSession.createDataFrame([], OVERLAP_SCHEMA)
     else:
-        overlap = group_overlap(pair, group)
+        overlap = materialize(group_overlap(pair, group), "group_overlap")
     return SplitAudit(
         matches,
         _summary(matches, overlap, features, group, near_atol, exact_atol),

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -88,6 +91,7 @@ class ModelSettings:
     c: float = LOGISTIC_C
     max_iter: int = LOGISTIC_MAX_ITER
     seed: int = DEFAULT_SEED
+    parallelism: int = 3
 
 
 @dataclass(frozen=True)
@@ -185,12 +189,15 @@ def score_protocols(
     protocols: Sequence[Protocol] = PROTOCOLS,
     settings: ModelSettings = ModelSettings(),
 ) -> DataFrame:
-    """One score row per protocol; the driver only walks the short list of protocols."""
-    scores = None
-    for protocol in protocols:
-        row = score_model(prepare(split_table, roles, protocol), protocol, settings)
-        scores = row if scores is None else scores.unionByName(row)
-    return scores
+    """One score row per protocol. A few protocols run at a time, because a single fit leaves executors idle."""
+
+    @inheritable_thread_target
+    def run(protocol: Protocol) -> DataFrame:
+        return score_model(prepare(split_table, roles, protocol), protocol, settings)
+
+    with ThreadPool(max(1, min(settings.parallelism, len(protocols)))) as pool:
+        rows = pool.map(run, protocols)
+    return reduce(DataFrame.unionByName, rows)
 
 
 def scaler_only_delta(

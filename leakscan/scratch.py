@@ -10,6 +10,7 @@ import atexit
 import contextlib
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 _local_root: str | None = None
+_lock = threading.Lock()
 _written: list[tuple[DataFrame, object, object]] = []
 
 
@@ -41,20 +43,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
-    _written.append((table, folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())))
+    with _lock:
+        _written.append((table, folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())))
     return table
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that no later step reads. Other DataFrames are left alone."""
     gone = {id(table) for table in tables}
-    kept = []
-    for entry in _written:
-        if id(entry[0]) in gone:
-            entry[2].delete(entry[1], True)
-        else:
-            kept.append(entry)
-    _written[:] = kept
+    with _lock:
+        doomed = [entry for entry in _written if id(entry[0]) in gone]
+        _written[:] = [entry for entry in _written if id(entry[0]) not in gone]
+    for _, folder, files in doomed:
+        files.delete(folder, True)
 
 
 def release_scratch() -> int:
