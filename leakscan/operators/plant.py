@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from leakscan.functions import keys
 from leakscan.functions.hashing import order_key
+from leakscan.scratch import materialize
 from leakscan.settings import DEFAULT_SEED, NEAR_OFFSET
 from leakscan.sources.pair import SplitPair
 
@@ -79,7 +80,7 @@ def plant_leaks(
         id_column: fresh(id_column, tops["i"], F.col("_turn")),
         group: fresh(group, tops["g"], F.col("_turn")),
     })
-    planted = copies
+    planted = copies.select(*pair.train.columns, "source_id", "kind")
     if n_groups:
         donors = _lowest(
             train.where(~keys.missing(group, schema[group].dataType)).select(ident, owner), ident, seed, n_groups
@@ -89,9 +90,8 @@ def plant_leaks(
             id_column: fresh(id_column, tops["i"], F.col("_turn") + n_exact + n_near),
             "kind": F.lit("group"),
         })
-        planted = planted.select(*pair.train.columns, "source_id", "kind").unionByName(
-            hosts.select(*pair.train.columns, "source_id", "kind")
-        )
+        planted = planted.unionByName(hosts.select(*pair.train.columns, "source_id", "kind"))
+    planted = materialize(planted, "planted")
     truth = planted.select(ident.alias("test_id"), "source_id", "kind")
     return Planted(SplitPair(train, test.unionByName(planted.select(*pair.test.columns))), truth)
 
