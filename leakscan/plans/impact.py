@@ -191,7 +191,7 @@ def score_protocols(
 ) -> DataFrame:
     """One score row per protocol. A few protocols run at a time, because a single fit leaves executors idle."""
 
-    @inheritable_thread_target
+    @inheritable_thread_target(split_table.sparkSession)
     def run(protocol: Protocol) -> DataFrame:
         return score_model(prepare(split_table, roles, protocol), protocol, settings)
 
