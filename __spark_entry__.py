@@ -5,6 +5,7 @@ Every split covers its whole table: each row is on the train side or on the test
 
 from __future__ import annotations
 
+import importlib.util
 import uuid
 from collections.abc import Callable
 
@@ -607,7 +608,7 @@ def _planted_ctes() -> str:
     best AS ({_order_best("rows", 1e-3)})"""
 
 
-def oracle_sql() -> dict[str, str]:
+def core_oracle_sql() -> dict[str, str]:
     """SQL for every query but the model fits, which are iterative."""
     orders = _dated("orders", "o_orderdate")
     int_label = "'int:' || CAST(id AS VARCHAR)"
@@ -752,10 +753,34 @@ def oracle_sql() -> dict[str, str]:
 # --- contract -------------------------------------------------------------------------------
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in _QUERIES}
 
 
+def _training_data() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the optional subpackage for training data; none if it is not there."""
+    found, sql = {}, {}
+    if importlib.util.find_spec("leakscan.llm"):
+        from leakscan.llm import queries as training
+
+        found, sql = training.queries(), training.oracle_sql()
+    if found and importlib.util.find_spec("corpus_pipeline"):
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return core_queries() | _training_data()[0]
+
+
+def oracle_sql() -> dict[str, str]:
+    return core_oracle_sql() | _training_data()[1]
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Which customers are on both sides of a split of the orders, and with how many rows."""
     return group_overlap_customers(spark, SMOKE_DIR)

@@ -28,11 +28,11 @@ def same(left, right):
     return left == right
 
 
-@pytest.mark.parametrize("name", registry.oracle_sql())
+@pytest.mark.parametrize("name", registry.core_oracle_sql())
 def test_query_equals_sql(spark, sql, name):
     frame = registry.queries()[name](spark, SF)
     names = sorted(frame.columns)
-    result = sql.execute(registry.oracle_sql()[name])
+    result = sql.execute(registry.core_oracle_sql()[name])
     columns = [column[0] for column in result.description]
     assert sorted(columns) == names
     order = [columns.index(column) for column in names]
@@ -46,4 +46,4 @@ def test_entry_and_keys(spark):
     assert registry.entry(spark).columns == ["label", "n_train", "n_test"]
     assert set(registry.oracle_sql()) <= set(registry.queries())
     fits = {"protocol_scores_logistic", "protocol_scores_forest", "scaler_only_delta", "leakage_impact"}
-    assert set(registry.queries()) - set(registry.oracle_sql()) == fits
+    assert set(registry.core_queries()) - set(registry.core_oracle_sql()) == fits
