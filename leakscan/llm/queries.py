@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leakscan.llm import mixture, near_dedup, packing, pseudonyms, quality, token_counts
+from leakscan.llm import embedding_dedup, mixture, near_dedup, packing, pseudonyms, quality, token_counts, warc_fixity
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Stands for a secret that a deployment reads from its own store.
@@ -31,6 +31,16 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drill: a replica with known damage, which the audit must find in full."""
+    pages = _read(spark, sf_dir, "pages")
+    return warc_fixity.fixity_report(pages, warc_fixity.damaged(pages))
+
+
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonym_report(_read(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
@@ -48,9 +58,26 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_best_fit_packing, op6_pseudonyms, op7_quality_rules, op8_minhash_near_dedup, op10_source_mixture)
+    found = (op1_token_counts, op2_best_fit_packing, op3_embedding_near_dedup, op4_warc_fixity, op6_pseudonyms, op7_quality_rules, op8_minhash_near_dedup, op10_source_mixture)
     return {query.__name__: query for query in found}
 
 
+_FIXITY_SQL = """
+    WITH records AS (
+        SELECT page_id, substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS mark, html,
+               CAST(octet_length(encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                   || 'WARC-Record-ID: <urn:md5:' || md5(page_id || '|' || url) || '>' || chr(13) || chr(10)
+                   || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+                   || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10)
+                   || html || chr(13) || chr(10) || chr(13) || chr(10))) AS BIGINT) AS length,
+               CAST(CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT)
+                   % greatest(1, CAST(ceil((SELECT count(*) FROM pages) / 1024) AS BIGINT)) AS INTEGER) AS archive
+        FROM pages),
+    placed AS (SELECT *, CAST(sum(length) OVER (PARTITION BY archive ORDER BY page_id) - length AS BIGINT) AS "offset" FROM records)
+    SELECT archive, page_id, CASE mark WHEN '00' THEN 'changed' ELSE 'missing' END AS kind, "offset", length,
+           CAST(1 AS BIGINT) AS primary_copies, CAST(CASE mark WHEN '00' THEN 1 ELSE 0 END AS BIGINT) AS replica_copies
+    FROM placed WHERE mark = '01' OR (mark = '00' AND html <> '#' || substr(html, 2))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_fixity": _FIXITY_SQL}
