@@ -36,11 +36,11 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_root
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a DataFrame that reads the written table."""
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` once and return a DataFrame that reads the written table. ``codec`` names a Parquet compression."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/leakscan/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     table = spark.read.schema(df.schema).parquet(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
     with _lock:
