@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leakscan.llm import embedding_dedup, mixture, near_dedup, packing, pseudonyms, quality, token_counts, warc_fixity
+from leakscan.llm import embedding_dedup, mixture, near_dedup, packing, pseudonyms, quality, repeats, token_counts, warc_fixity
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Stands for a secret that a deployment reads from its own store.
@@ -53,12 +53,16 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_report(_read(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(_read(spark, sf_dir, "documents"))
+
+
 def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix_report(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_best_fit_packing, op3_embedding_near_dedup, op4_warc_fixity, op6_pseudonyms, op7_quality_rules, op8_minhash_near_dedup, op10_source_mixture)
+    found = (op1_token_counts, op2_best_fit_packing, op3_embedding_near_dedup, op4_warc_fixity, op6_pseudonyms, op7_quality_rules, op8_minhash_near_dedup, op9_repeated_passages, op10_source_mixture)
     return {query.__name__: query for query in found}
 
 
