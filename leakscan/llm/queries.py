@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakscan.llm import embedding_dedup, mixture, near_dedup, packing, pseudonyms, quality, repeats, token_counts, warc_fixity
+from leakscan.llm import embedding_dedup, lm_scores, mixture, near_dedup, packing, pseudonyms, quality, repeats, token_counts, warc_fixity
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Stands for a secret that a deployment reads from its own store.
@@ -41,6 +41,11 @@ def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.fixity_report(pages, warc_fixity.damaged(pages))
 
 
+def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm_scores.backoff_scores(_read(spark, sf_dir, "documents"))
+    return scores.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_score")})
+
+
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonym_report(_read(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
@@ -62,7 +67,7 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_best_fit_packing, op3_embedding_near_dedup, op4_warc_fixity, op6_pseudonyms, op7_quality_rules, op8_minhash_near_dedup, op9_repeated_passages, op10_source_mixture)
+    found = (op1_token_counts, op2_best_fit_packing, op3_embedding_near_dedup, op4_warc_fixity, op5_backoff_scores, op6_pseudonyms, op7_quality_rules, op8_minhash_near_dedup, op9_repeated_passages, op10_source_mixture)
     return {query.__name__: query for query in found}
 
 
@@ -83,5 +88,31 @@ _FIXITY_SQL = """
     FROM placed WHERE mark = '01' OR (mark = '00' AND html <> '#' || substr(html, 2))"""
 
 
+_SCORES_SQL = r"""
+    WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split),
+    pairs AS (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM words),
+    c1 AS (SELECT word, count(*) AS n FROM pairs GROUP BY 1),
+    c2 AS (SELECT before, word, count(*) AS n FROM pairs WHERE before IS NOT NULL GROUP BY 1, 2),
+    o1 AS (SELECT doc_id, word, count(*) AS own FROM pairs GROUP BY 1, 2),
+    o2 AS (SELECT doc_id, before, word, count(*) AS own FROM pairs WHERE before IS NOT NULL GROUP BY 1, 2, 3),
+    size AS (SELECT doc_id, len(w) AS n_words FROM split),
+    total AS (SELECT sum(n_words) AS n FROM size),
+    scored AS (
+        SELECT p.doc_id, p.before, c1.n - o1.own AS k1, coalesce(c2.n - o2.own, 0) AS k2, h.n - ho.own AS kh, (SELECT n FROM total) - n_words AS rest
+        FROM pairs p JOIN size USING (doc_id) JOIN c1 ON p.word = c1.word JOIN o1 ON p.doc_id = o1.doc_id AND p.word = o1.word
+        LEFT JOIN c2 ON p.before = c2.before AND p.word = c2.word
+        LEFT JOIN o2 ON p.doc_id = o2.doc_id AND p.before = o2.before AND p.word = o2.word
+        LEFT JOIN c1 h ON p.before = h.word LEFT JOIN o1 ho ON p.doc_id = ho.doc_id AND p.before = ho.word),
+    logs AS (
+        SELECT *, ln(CASE WHEN k2 > 0 THEN k2 / CAST(kh AS DOUBLE)
+                          ELSE CASE WHEN before IS NULL THEN 1.0 ELSE CAST(0.4 AS DOUBLE) END * CASE WHEN k1 > 0 THEN k1 / CAST(rest AS DOUBLE) ELSE 1 / CAST(rest + 1 AS DOUBLE) END
+                     END) AS s FROM scored)
+    SELECT size.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(count(*) FILTER (k2 > 0) AS BIGINT) AS n_full,
+           CAST(count(*) FILTER (k1 = 0) AS BIGINT) AS n_unseen, round(coalesce(sum(s), 0), 6) AS log_score,
+           round(sum(s) / nullif(n_words, 0), 6) AS mean_score
+    FROM size LEFT JOIN logs USING (doc_id) GROUP BY size.doc_id, n_words"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_fixity": _FIXITY_SQL}
+    return {"op5_backoff_scores": _SCORES_SQL, "op4_warc_fixity": _FIXITY_SQL}

@@ -28,13 +28,13 @@ class WordHashes(dict):
         return value
 
 
-def word_hashes(text: bytes | None, cache: WordHashes) -> np.ndarray:
-    """Hashes of the words of a text, A-Z lowered. Words are runs without 0x20 and 0x09 to 0x0D."""
-    parts = (text or b"").lower().split()
+def word_hashes(text: bytes | None, cache: WordHashes, lower: bool = True) -> np.ndarray:
+    """Hashes of the words of a text, A-Z lowered unless told otherwise. Words are runs without 0x20 and 0x09 to 0x0D."""
+    parts = ((text or b"").lower() if lower else text or b"").split()
     return np.fromiter(map(cache.__getitem__, parts), np.uint64, len(parts))
 
 
-def _scramble(values: np.ndarray) -> np.ndarray:
+def scramble(values: np.ndarray) -> np.ndarray:
     values = values ^ (values >> np.uint64(31))
     values = values * _SPREAD
     return values ^ (values >> np.uint64(29))
@@ -49,8 +49,8 @@ def shingle_set(text: bytes | None, cache: WordHashes) -> np.ndarray:
     count = len(hashes) - width + 1
     total = np.full(count, width, np.uint64) * _SPREAD
     for i in range(width):
-        total += _scramble(hashes[i : i + count] * _MIX[i])
-    return np.unique(_scramble(total))
+        total += scramble(hashes[i : i + count] * _MIX[i])
+    return np.unique(scramble(total))
 
 
 def set_name(shingles: np.ndarray) -> bytes:
