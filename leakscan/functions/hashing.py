@@ -21,7 +21,9 @@ def _field_text(field: T.StructField) -> Column:
     if isinstance(field.dataType, T.BinaryType):
         text = F.hex(column)
     elif isinstance(field.dataType, (T.ArrayType, T.StructType)):
-        text = F.when(column.isNotNull(), F.to_json(F.struct(column)))
+        text = F.when(column.isNotNull(), F.to_json(F.struct(column), {"timeZone": "UTC"}))
+    elif isinstance(field.dataType, T.TimestampType):
+        return F.coalesce(F.unix_micros(column).cast("string"), F.lit("N"))
     elif isinstance(field.dataType, T.StringType):
         text = column
     else:

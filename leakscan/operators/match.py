@@ -28,7 +28,6 @@ from leakscan.scratch import discard, materialize
 from leakscan.settings import (
     BROADCAST_ROWS,
     CHUNK_ROWS,
-    MAX_GRID_CANDIDATES,
     MAX_GRID_COLUMNS,
     MAX_LEVELS,
     MIN_PAIR_BUDGET,
@@ -243,11 +242,10 @@ def _choose_grid(train: DataFrame, test: DataFrame, largest: Sequence[float], ra
     """Vector counts per side and the grid columns with the lowest estimated cost.
 
     A column divides the candidates of a test vector by its number of distinct train cells and
-    multiplies the test entries by the cells a test vector touches; both are measured. Among very
-    many columns, those that can have most cells are looked at.
+    multiplies the test entries by the cells a test vector touches; both are measured, for every column.
     """
     widths = [grid.cell_width(radius, size) for size in largest]
-    looked_at = sorted(range(len(largest)), key=lambda i: (-largest[i] / widths[i], i))[:MAX_GRID_CANDIDATES]
+    looked_at = range(len(largest))
     cells = {i: grid.home_cell(F.col(f"_n{i}"), widths[i]) for i in looked_at}
     touched = {
         i: grid.touched_count(F.col(f"_n{i}"), widths[i], grid.padding(radius, largest[i])) for i in looked_at
@@ -350,7 +348,7 @@ def _search(
         settled.append(level)
         rest = test
         if step + 1 < len(plan):
-            rest = materialize(test.join(level.select("test_id"), "test_id", "left_anti"), "unsettled")
+            rest = materialize(test.join(level.select(*vector), list(vector), "left_anti"), "unsettled")
         discard(*[table for table in (chunks, test) if table is not None and table is not rest])
         test = rest
     discard(test)

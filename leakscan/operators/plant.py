@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from leakscan.errors import InputError
 from leakscan.functions import keys
 from leakscan.functions.hashing import order_key
 from leakscan.scratch import materialize
@@ -66,6 +67,10 @@ def plant_leaks(
     tops = pair.tagged(lambda _: [ident.alias("_i"), owner.alias("_g")]).agg(
         F.max("_i").alias("i"), F.max("_g").alias("g")
     ).first()
+    before = pair.tagged(lambda _: [ident.cast("string").alias("_i"), owner.cast("string").alias("_g")]).where(
+        F.col("_i").startswith(prefix) | F.col("_g").startswith(prefix)
+    ).count()
+    prefix = f"{prefix}{before}-" if before else prefix  # ids of an earlier call are not given again
 
     def fresh(column: str, highest: object, turn: Column) -> Column:
         return _fresh(prefix, column, schema[column].dataType, turn, highest)
@@ -92,6 +97,9 @@ def plant_leaks(
         })
         planted = planted.unionByName(hosts.select(*pair.train.columns, "source_id", "kind"))
     planted = materialize(planted, "planted")
+    asked, there = n_exact + n_near + n_groups, planted.count()
+    if there < asked:
+        raise InputError(f"only {there} of {asked} leaks can be planted: the sides have too few rows")
     truth = planted.select(ident.alias("test_id"), "source_id", "kind")
     return Planted(SplitPair(train, test.unionByName(planted.select(*pair.test.columns))), truth)
 

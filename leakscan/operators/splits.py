@@ -105,10 +105,12 @@ def stratified_row_split(
     _check_share(share)
     label = F.col(f"`{target}`")
     ident = F.col(f"`{id_column}`")
-    if not table.where(label.isNull()).isEmpty():
-        raise InputError(f"target column contains missing values: {target}")
     sizes = materialize(class_sizes(table, target, share), "class_sizes")
-    stats = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).first()
+    stats = sizes.agg(
+        F.max("n").alias("largest"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"), F.count_if(F.col("_class").isNull()).alias("nulls")
+    ).first()
+    if stats["nulls"]:
+        raise InputError(f"target column contains missing values: {target}")
     if not stats["total"]:
         raise InputError("the table has no rows to split")
     ranked = table.select(label.alias("_class"), order_key(seed, ident).alias("_key"), ident.alias("_id"))

@@ -15,6 +15,12 @@ PREVIEW_SIZE = 8
 GROUP_RULE = "typed; missing values never overlap"
 UNHASHABLE = "categorical feature values must be hashable"
 
+# Fields of a CSV file that mean a missing value, besides the empty field.
+MISSING_TOKENS = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
 # Forest depth and bins: Spark's defaults are too shallow to memorise an entity.
 FOREST_DEPTH = 15
 FOREST_BINS = 256
@@ -35,7 +41,6 @@ MIN_PAIR_BUDGET = 20_000_000
 RADIUS_STEP = 16.0
 MAX_LEVELS = 8
 MAX_GRID_COLUMNS = 12
-MAX_GRID_CANDIDATES = 16
 # A grid cell with more candidate pairs than CHUNK_ROWS squared is cut into chunks of this many vectors.
 CHUNK_ROWS = 2048
 

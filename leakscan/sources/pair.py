@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -43,12 +43,22 @@ class SplitPair:
 
 
 def split_pair(
-    table: DataFrame, split_column: str = "split", train_value: str = "train", test_value: str = "test"
+    table: DataFrame,
+    split_column: str = "split",
+    train_value: str = "train",
+    test_value: str = "test",
+    ignored_values: Sequence[str | None] = (),
 ) -> SplitPair:
-    """The two sides of a table that carries a split column."""
+    """The two sides of a table that carries a split column.
+
+    Rows with any other split value stop the audit when they are read, unless the value (None for null) is ignored.
+    """
     if split_column not in table.columns:
         raise InputError(f"split column not in table: {split_column}")
     side = F.col(f"`{split_column}`")
+    known = F.coalesce(side.isin(train_value, test_value, *[v for v in ignored_values if v is not None]), F.lit(None in ignored_values))
+    told = F.raise_error(F.concat(F.lit(f"unknown value in split column {split_column}: "), F.coalesce(side.cast("string"), F.lit("null"))))
+    table = table.withColumn(split_column, F.when(known, side).otherwise(told))
     return SplitPair(
         table.where(side == train_value).drop(split_column),
         table.where(side == test_value).drop(split_column),
