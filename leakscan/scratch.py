@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _local_root: str | None = None
 _lock = threading.Lock()
@@ -40,7 +41,8 @@ def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame
     """Write ``df`` once and return a DataFrame that reads the written table. ``codec`` names a Parquet compression."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/leakscan/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path, compression=codec)
+    with _no_shuffles_left(spark):
+        df.write.parquet(path, compression=codec)
     table = spark.read.schema(df.schema).parquet(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
     with _lock:
@@ -48,6 +50,20 @@ def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame
     return table
 
 
+@contextlib.contextmanager
+def _no_shuffles_left(spark: SparkSession):
+    """Shuffle files go when the query ends, as later steps read the written table; else they stay until the driver collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that no later step reads. Other DataFrames are left alone."""
     gone = {id(table) for table in tables}
