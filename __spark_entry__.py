@@ -119,9 +119,9 @@ def input_profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _line_matches(spark: SparkSession, sf_dir: str, numeric: list[str], near_atol: float) -> DataFrame:
+def _line_matches(spark: SparkSession, sf_dir: str, numeric: list[str], near_atol: float, **options) -> DataFrame:
     pair = ls.split_pair(_lines_by_date(spark, sf_dir))
-    found = ls.audit_split(pair, [*numeric, *LINE_FLAGS], near_atol=near_atol).matches.vectors
+    found = ls.audit_split(pair, [*numeric, *LINE_FLAGS], near_atol=near_atol, **options).matches.vectors
     return found.select(
         *[F.col(f"_n{i}").alias(name) for i, name in enumerate(numeric)],
         *[F.col(f"_c{i}").alias(name) for i, name in enumerate(LINE_FLAGS)],
@@ -139,6 +139,12 @@ def near_match_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_matches(spark, sf_dir, LINE_NUMERIC, 2.0)
 
 
+def near_match_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row ids that repeat, and a search that goes through several radii."""
+    limits = ls.SearchLimits(pairs_per_vector=1, min_pair_budget=1)
+    return _line_matches(spark, sf_dir, LINE_NUMERIC, 2.0, id_columns=["l_orderkey"], limits=limits)
+
+
 def _rounded(matches: DataFrame) -> DataFrame:
     return matches.withColumn("distance", F.round("distance", 6))
 
@@ -415,6 +421,7 @@ _QUERIES = (
     input_profile_lineitem,
     exact_match_lineitem,
     near_match_lineitem,
+    near_match_repeated_ids,
     near_match_orders,
     copied_documents,
     near_embeddings,
@@ -643,6 +650,7 @@ def core_oracle_sql() -> dict[str, str]:
             FROM {_dated("lineitem", "l_shipdate")} GROUP BY split""",
         "exact_match_lineitem": _line_match_sql(["l_quantity", "l_discount", "l_tax"], 1e-3),
         "near_match_lineitem": _line_match_sql(LINE_NUMERIC, 2.0),
+        "near_match_repeated_ids": _line_match_sql(LINE_NUMERIC, 2.0),
         "near_match_orders": f"""
             SELECT test_id, train_id, round(d, 6) AS distance, CASE WHEN d <= 1e-8 THEN 'exact' ELSE 'near' END AS kind
             FROM ({_order_best(order_rows, 5.0)})""",

@@ -82,6 +82,20 @@ def test_search_equals_brute_force(spark, monkeypatch, width, atol, path):
     assert (steps.count("near") > 1) == (path == "levels")
 
 
+@pytest.mark.parametrize("path", sorted(PATHS))
+@pytest.mark.parametrize("ids", ["repeated", "null"])
+def test_ids_decide_nothing(spark, path, ids):
+    """Counts are the same whether ids are unique, repeated or missing."""
+    rng = np.random.default_rng(11)
+    train, test = draw(rng, 120, 2, 0.5), draw(rng, 60, 2, 0.5)
+    expected = brute_force(train, test, 0.5)
+    changed = F.lit(None).cast("bigint") if ids == "null" else F.expr("id div 2")
+    pair = SplitPair(frame(spark, train, 2).withColumn("id", changed), frame(spark, test, 2).withColumn("id", changed))
+    summary = audit_split(pair, ["x0", "x1", "c"], near_atol=0.5, exact_atol=0.0, id_columns=["id"], limits=PATHS[path]).summary.first()
+    assert summary.exact_duplicate_rows == sum(d == 0 for d, _ in expected.values())
+    assert summary.near_duplicate_rows == sum(d > 0 for d, _ in expected.values())
+
+
 def test_result_is_free_of_partitioning(spark):
     rng = np.random.default_rng(5)
     train, test = draw(rng, 150, 2, 0.5), draw(rng, 80, 2, 0.5)

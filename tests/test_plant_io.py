@@ -212,3 +212,51 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
         scratch.scratch_root(Session())
     Context.conf["spark.checkpoint.dir"] = "hdfs:///shared/"
     assert scratch.scratch_root(Session()) == "hdfs:///shared"
+
+
+def test_missing_tokens_in_csv(spark, tmp_path):
+    from leakscan import audit_split, read_pair
+
+    (tmp_path / "a.csv").write_text("k,x,note,when\n1,1.0,NA,2024-01-05 10:00:00\n2,2.0,ok,n/a\n")
+    (tmp_path / "b.csv").write_text("k,x,note,when\n3,1.0005,null,\n4,9.0,fine,2024-01-06 10:00:00\n")
+    (tmp_path / "c.csv").write_text("k,x,note,when\n3,NA,null,\n4,9.0,fine,\n")
+    pair = read_pair(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv"))
+    assert dict(pair.train.dtypes) == {"k": "int", "x": "double", "note": "string", "when": "timestamp"}
+    assert [r.note for r in pair.train.orderBy("k").collect()] == [None, "ok"]
+    assert audit_split(pair, ["x"], id_columns=["k"]).summary.first().near_duplicate_rows == 1
+    with pytest.raises(InputError, match="missing"):
+        audit_split(read_pair(spark, str(tmp_path / "a.csv"), str(tmp_path / "c.csv")), ["x"])
+
+
+def test_unknown_split_values_stop_the_audit(spark):
+    from leakscan import audit_split, split_pair
+
+    rows = spark.createDataFrame([(1.0, "train"), (1.0, "test"), (2.0, "valid"), (3.0, None)], "x double, split string")
+    with pytest.raises(Exception, match="unknown value in split column"):
+        audit_split(split_pair(rows), ["x"]).summary.first()
+    summary = audit_split(split_pair(rows, ignored_values=["valid", None]), ["x"]).summary.first()
+    assert (summary.n_train, summary.n_test, summary.exact_duplicate_rows) == (1, 1, 1)
+
+
+def test_planting_again_gives_new_ids_and_too_few_rows_are_an_error(spark):
+    from leakscan import SplitPair, plant_leaks
+
+    side = lambda name, n: spark.createDataFrame([(f"{name}{i}", f"g{name}{i}", float(i)) for i in range(n)], "id string, g string, x double")
+    pair = SplitPair(side("a", 6), side("b", 6))
+    once = plant_leaks(pair, "id", ["x"], "g", 2, 1)
+    twice = plant_leaks(once.pair, "id", ["x"], "g", 2, 1)
+    ids = [r.id for r in twice.pair.test.select("id").collect()]
+    assert len(ids) == len(set(ids)) == 12
+    with pytest.raises(InputError, match="can be planted"):
+        plant_leaks(pair, "id", ["x"], "g", 7, 0)
+
+
+def test_fingerprint_is_free_of_the_time_zone(spark):
+    from leakscan import table_fingerprint
+
+    rows = spark.createDataFrame([(1, "2024-05-06T07:08:09Z")], "k int, t string").selectExpr("k", "CAST(t AS timestamp) AS t", "array(CAST(t AS timestamp)) AS l")
+    found = []
+    for zone in ("Asia/Tokyo", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        found.append(tuple(table_fingerprint(rows).first()))
+    assert found[0] == found[1]
