@@ -48,8 +48,7 @@ def _grow(points: np.ndarray, size: int, spill: float, rng: np.random.Generator)
 
     def node(rows: np.ndarray) -> int:
         nonlocal leaves
-        centre = points[rows].mean(axis=0)
-        if len(rows) > size and centre @ centre < TIGHT:
+        if len(rows) > size and np.square(points[rows].mean(axis=0)).sum() < TIGHT:
             direction = rng.standard_normal(points.shape[1])
             along = points[rows] @ direction
             low, high = np.quantile(along, [0.5 - spill / 2, 0.5 + spill / 2])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from leakscan.llm.common import materialize
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 20_000
 _CODEC = "zstd"
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from leakscan.llm.common import grouped, materialize
 from leakscan.llm.exchange import answer, answers_of, ask, ranges_for, text_batches, unpack_table
+from leakscan.scratch import discard
 
 WINDOW = 50
 ANCHOR = 20
@@ -84,24 +85,32 @@ def _batch_texts(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
     return table.column("doc_id").to_pylist(), [x or b"" for x in table.column("text").to_pylist()]
 
 
+def _found(table: pa.Table) -> tuple[list[int], dict[int, tuple]]:
+    """Names of the texts of a batch, and the fragments of each text that can have windows."""
+    names, found = [], {}
+    for doc_id, text in zip(*_batch_texts(table), strict=True):
+        usable = doc_id is not None and len(text) >= WINDOW
+        names.append(_text_name(text) if usable else None)
+        if usable and names[-1] not in found:
+            found[names[-1]] = fragments(text)
+    return names, found
+
+
+def _anchors(found: dict[int, tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct anchors of a batch, and whether several of its texts have them."""
+    anchors, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.unique(f[0]) for f in found.values()]]), return_counts=True)
+    return anchors, (counts > 1).astype(np.uint64)
+
+
 def _keys(table: pa.Table):
-    """Names of texts with the smallest id that has them here, and anchors with a number for the text that has them."""
-    ids, texts = _batch_texts(table)
+    """Names of texts with the smallest id that has them here, and anchors with a number for the texts that have them."""
+    names, found = _found(table)
     first: dict[int, int] = {}
-    for doc_id, text in zip(ids, texts, strict=True):
-        if doc_id is not None and len(text) >= WINDOW:
-            name = _text_name(text)
-            if name not in first or doc_id < first[name]:
-                first[name] = doc_id
-    names = np.array(sorted(first), np.uint64)
-    owners = np.array([first[int(x)] for x in names], np.int64).view(np.uint64)
-    seen, anchors = set(), [np.zeros(0, np.uint64)]
-    for doc_id, text in zip(ids, texts, strict=True):
-        if doc_id is not None and len(text) >= WINDOW and (name := _text_name(text)) not in seen:
-            seen.add(name)
-            anchors.append(np.unique(fragments(text)[0]))
-    found, counts = np.unique(np.concatenate(anchors), return_counts=True)
-    return {_TEXTS: (names, owners), _ANCHORS: (found, (counts > 1).astype(np.uint64))}
+    for name, doc_id in zip(names, table.column("doc_id").to_pylist(), strict=True):
+        if name is not None:
+            first[name] = min(doc_id, first.get(name, doc_id))
+    order = np.array(sorted(first), np.uint64)
+    return {_TEXTS: (order, np.array([first[int(x)] for x in order], np.int64).view(np.uint64)), _ANCHORS: _anchors(found)}
 
 
 def _merged(kind: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -121,24 +130,24 @@ def _shared_fragments(left, right):
     columns: dict[str, list] = {n: [] for n in ("anchor", "digest", "doc_id", "batch", "place", "first", "windows", "bytes")}
     for batch, data in zip(left.column("batch").to_pylist(), left.column("data"), strict=True):
         table = unpack_table(data.as_py())
-        keys, (ids, texts) = _keys(table), _batch_texts(table)
-        owner = dict(zip(keys[_TEXTS][0].tolist(), answers_of(right, _TEXTS).view(np.int64).tolist(), strict=True))
-        shared = keys[_ANCHORS][0][answers_of(right, _ANCHORS) > 0]
+        (names, found), (ids, texts) = _found(table), _batch_texts(table)
+        owner = dict(zip(sorted(found), answers_of(right, _TEXTS).view(np.int64).tolist(), strict=True))
+        shared = _anchors(found)[0][answers_of(right, _ANCHORS) > 0]
         sent = set()
-        for place, (doc_id, text) in enumerate(zip(ids, texts, strict=True)):
-            if doc_id is None or len(text) < WINDOW or owner[_text_name(text)] < doc_id or not len(shared):
+        for place, (name, doc_id, text) in enumerate(zip(names, ids, texts, strict=True)):
+            if name is None or owner[name] < doc_id or not len(shared):
                 continue
-            anchors, first, windows = fragments(text)
+            anchors, first, windows = found[name]
             at = np.searchsorted(shared, anchors)
             at[at == len(shared)] = 0
             hit = np.flatnonzero(shared[at] == anchors)
             for anchor, start, count in zip(anchors[hit].view(np.int64).tolist(), first[hit].tolist(), windows[hit].tolist(), strict=True):
                 content = text[start : start + count + WINDOW - 1]
                 digest = xxhash.xxh3_64_intdigest(content) - (1 << 63)
-                fresh = (anchor, digest, doc_id) not in sent
-                sent.add((anchor, digest, doc_id))
-                for name, value in zip(columns, (anchor, digest, doc_id, batch, place, start, count, content if fresh else None), strict=True):
-                    columns[name].append(value)
+                fresh = (anchor, digest) not in sent  # the bytes of a fragment go once per batch
+                sent.add((anchor, digest))
+                for column, value in zip(columns.values(), (anchor, digest, doc_id, batch, place, start, count, content if fresh else None), strict=True):
+                    column.append(value)
     kinds = dict(zip(columns, (*[pa.int64()] * 4, *[pa.int32()] * 1, pa.int64(), pa.int32(), pa.binary()), strict=True))
     return pa.table({n: pa.array(v, kinds[n]) for n, v in columns.items()})
 
@@ -227,12 +236,13 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _masks(shared: DataFrame) -> DataFrame:
     """``anchor``, ``digest``, ``owner``, ``mask``: for each different fragment the windows that a smaller id than its owner has."""
-    owned = shared.groupBy("anchor", "digest").agg(F.min("doc_id").alias("owner"), F.min("bytes").alias("bytes"))
-    owned = materialize(owned, "owned")
-    several = owned.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    joined = owned.join(several, "anchor")
+    owned = materialize(shared.groupBy("anchor", "digest").agg(F.min("doc_id").alias("owner")), "owned", "zstd")
+    several = materialize(owned.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several", "zstd")
+    sent = shared.where("bytes is not null").select("anchor", "digest", "bytes").join(several, "anchor")
+    joined = sent.groupBy("anchor", "digest", "n").agg(F.any_value("bytes").alias("bytes")).join(owned, ["anchor", "digest"])
+    joined = materialize(joined, "different", "zstd")
     total = several.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // (INDEX_FRAGMENTS // 4)))
+    shards = max(1, -(-total // max(1, INDEX_FRAGMENTS // 4)))
     dealt = joined.where(F.col("n") <= INDEX_FRAGMENTS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     dealt = dealt.select("shard", "anchor", "digest", "owner", "bytes").repartition("shard").sortWithinPartitions("shard")
     indexed = dealt.mapInArrow(_indexed, "anchor long, digest long, mask long")
@@ -319,12 +329,13 @@ def repeated_spans(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     answers = materialize(answer(ask(batches, ranges_for(batches), _keys), _merged), "answers")
     schema = "anchor long, digest long, doc_id long, batch long, place int, first long, windows int, bytes binary"
     shared = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_shared_fragments, schema)
-    shared = materialize(shared, "shared")
+    shared = materialize(shared, "shared", "zstd")
     masks = _masks(shared)
     marked = shared.select("anchor", "digest", "doc_id", "batch", "place", "first", "windows").join(masks, ["anchor", "digest"])
     full = F.expr("shiftleft(1L, windows) - 1")
     lost = marked.withColumn("lost", F.when(F.col("owner") < F.col("doc_id"), full).otherwise(F.col("mask"))).where("lost <> 0")
-    per_doc = lost.groupBy("batch", "place").applyInArrow(_runs, "batch long, kind int, range int, answers binary")
+    per_doc = materialize(lost.groupBy("batch", "place").applyInArrow(_runs, "batch long, kind int, range int, answers binary"), "lost", "zstd")
+    discard(shared)
     told = answers.where(F.col("kind") == _TEXTS).unionByName(per_doc)
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, stop: long>>"
     return batches.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_result(keep_text), result)
