@@ -21,14 +21,16 @@ def lookup_join(
     """Join ``rows`` to ``table``, which has one row per key.
 
     ``weight`` names the column of ``table`` that counts the matching rows, ``total``
-    their sum. Keys above ``total / SPREAD`` are then salted: fewer than ``SPREAD`` keys
-    qualify, so the table of hot keys is small enough to broadcast whatever the input
-    size, and hot keys add fewer than ``2 * SPREAD`` rows to ``table``. The salt is
+    their sum. Keys above ``total / spread`` are then salted, where spread is SPREAD or the number of shuffle partitions if
+    that is more: fewer than ``spread`` keys qualify, so the table of hot keys is small enough to broadcast whatever the input
+    size, and hot keys add fewer than ``2 * spread`` rows to ``table``. The salt is
     the scan partition of a row, which a retried task reproduces. Null keys match nothing.
     """
     if weight is None or total is None or total < salt_min_rows:
         return rows.join(table, list(keys), how)
-    share = -(-total // SPREAD)
+    # as many parts as the join has tasks, so that no key holds more than its share of one
+    spread = max(SPREAD, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    share = -(-total // spread)
     salts = F.ceil(F.col(weight) / F.lit(share)).cast("int")
     hot = table.where(F.col(weight) > share).select(*keys, salts.alias("_salts"))
     salted_rows = rows.join(F.broadcast(hot), list(keys), "left").withColumn(

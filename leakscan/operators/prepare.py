@@ -68,8 +68,10 @@ def apply_target_encoding(
 ) -> DataFrame:
     """Add the encoded value; codes the encoder never saw get the overall mean.
 
-    Give ``n_rows``, the number of rows the encoder was fitted on, to have frequent codes salted.
+    Frequent codes are salted by the encoder's own counts; ``n_rows`` is their sum if the caller knows it.
     """
+    if n_rows is None:
+        n_rows = encoding.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     text, absent = _code_columns("code")
     table = encoding.select(text, absent, F.col("encoded").alias("_encoded"), "n")
     keyed = rows.select(*[F.col(f"`{name}`") for name in rows.columns], *_code_columns(code))

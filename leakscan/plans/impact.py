@@ -129,7 +129,7 @@ def prepare(table: DataFrame, roles: ImpactInput, protocol: Protocol) -> DataFra
     if protocol.encoded:
         seen = fit_rows(rows, protocol.fit, split)
         encoding, mean = fit_target_encoding(seen, roles.code, roles.target)
-        rows = apply_target_encoding(rows, encoding, mean, roles.code, "_encoded_code", table.count())
+        rows = apply_target_encoding(rows, encoding, mean, roles.code, "_encoded_code")
         columns.append("_encoded_code")
     scaler = fit_scaler(fit_rows(rows, protocol.fit, split), columns)
     scaled = apply_scaler(rows, scaler)
