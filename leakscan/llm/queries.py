@@ -114,5 +114,75 @@ _SCORES_SQL = r"""
     FROM size LEFT JOIN logs USING (doc_id) GROUP BY size.doc_id, n_words"""
 
 
+_METRICS = {"word_length": ("word_chars", "n_words", 4000), "symbol_rate": ("n_symbols", "word_chars", 200),
+            "line_repeat_rate": ("n_dup_lines", "n_lines", 400), "word_repeat_rate": ("n_repeat_words", "n_words", 250)}
+_RATES = ", ".join(f"CASE WHEN {b} = 0 THEN 0 ELSE {a} * 1000 // {b} END AS {m}" for m, (a, b, _) in _METRICS.items())
+_ENTRIES = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS metric, {m} AS v, {least} AS least FROM rates" for m, (_, _, least) in _METRICS.items())
+
+
+def _quartiles_sql(*keys: str) -> str:
+    by, names = ", ".join([*keys, "metric"]), ", ".join(["metric", *keys])
+    return f"""(SELECT {names}, min(low) FILTER (4 * upto >= size) AS q1, min(low) FILTER (4 * upto >= 3 * size) AS q3, max(size) AS size
+        FROM (SELECT {names}, bucket, min(low) AS low, sum(count(*)) OVER (PARTITION BY {by} ORDER BY bucket) AS upto,
+                     sum(count(*)) OVER (PARTITION BY {by}) AS size FROM entries GROUP BY {by}, bucket) GROUP BY {by})"""
+
+
+_QUALITY_SQL = rf"""
+    WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    words AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM texts),
+    windows AS (SELECT doc_id, i, a, lead(a) OVER d AS b, lead(a, 2) OVER d AS c FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM windows WHERE c IS NOT NULL),
+    repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
+    lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
+    counts AS (
+        SELECT t.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+               length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+               len(l) AS n_lines, coalesce(r.n, 0) AS n_repeat_words
+        FROM texts t JOIN lines USING (doc_id) LEFT JOIN repeated r ON t.doc_id = r.doc_id),
+    rates AS (SELECT *, {_RATES} FROM counts),
+    entries AS (
+        SELECT *, greatest(0, length(bin(v)) - 6) AS e, 32 * e + (v >> e) AS bucket, (v >> e) << e AS low FROM ({_ENTRIES})),
+    fenced AS (
+        SELECT x.*, CASE WHEN s.size >= 200 THEN s.q1 WHEN g.size >= 200 THEN g.q1 ELSE a.q1 END AS q1,
+               CASE WHEN s.size >= 200 THEN s.q3 WHEN g.size >= 200 THEN g.q3 ELSE a.q3 END AS q3
+        FROM entries x JOIN {_quartiles_sql("lang", "source")} s ON x.metric = s.metric AND x.lang IS NOT DISTINCT FROM s.lang AND x.source IS NOT DISTINCT FROM s.source
+        JOIN {_quartiles_sql("lang")} g ON x.metric = g.metric AND x.lang IS NOT DISTINCT FROM g.lang JOIN {_quartiles_sql()} a ON x.metric = a.metric),
+    verdicts AS (
+        SELECT doc_id, bool_and(v <= q3 + greatest(3 * (q3 - q1), least) AND (metric <> 'word_length' OR v >= q1 - greatest(3 * (q3 - q1), least))) AS inside
+        FROM fenced GROUP BY doc_id)
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+           CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+           n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND inside AS kept
+    FROM counts JOIN verdicts USING (doc_id)"""
+
+_MIXTURE_SQL = r"""
+    WITH sized AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+               -ln((CAST('0x' || substr(md5('42|' || doc_id), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+               / CASE WHEN length(text) > 0 THEN greatest(length(regexp_replace(text, '[0-9#*$%&|<>]', '', 'g')) / CAST(length(text) AS DOUBLE), 0.05) ELSE 1 END AS key
+        FROM documents),
+    sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+    ranked AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS most FROM sums),
+    leveled AS (
+        SELECT *, (CAST((SELECT sum(source_size) FROM sums) AS DOUBLE) - coalesce(sum(most) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                  / sum(weight) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+        FROM ranked WINDOW r AS (ORDER BY most / weight, source NULLS LAST)),
+    plan AS (
+        SELECT source, source_size, CASE WHEN most / weight <= level THEN most
+               ELSE least(weight * (SELECT max(level) FROM leveled WHERE most / weight > level), most) END AS target FROM leveled),
+    part AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs, target - epochs * source_size AS rest FROM plan),
+    drawn AS (
+        SELECT s.*, source_size, target, epochs, rest, CAST(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) <= rest AS BIGINT) AS extra
+        FROM sized s JOIN part p ON s.source IS NOT DISTINCT FROM p.source),
+    gaps AS (SELECT *, rest - sum(extra * size) OVER (PARTITION BY source) AS gap FROM drawn),
+    fills AS (
+        SELECT *, extra = 0 AND size > 0 AND abs(size - gap) < gap AND row_number() OVER (
+                      PARTITION BY source ORDER BY extra = 0 AND size > 0 AND abs(size - gap) < gap DESC, abs(size - gap), key, doc_id) = 1 AS fill FROM gaps)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+           CAST(size * CASE WHEN epochs >= 3 THEN 3 ELSE epochs + CASE WHEN fill THEN 1 ELSE extra END END AS BIGINT) AS taken
+    FROM fills"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_backoff_scores": _SCORES_SQL, "op4_warc_fixity": _FIXITY_SQL}
+    return {"op7_quality_rules": _QUALITY_SQL, "op10_source_mixture": _MIXTURE_SQL, "op5_backoff_scores": _SCORES_SQL, "op4_warc_fixity": _FIXITY_SQL}
