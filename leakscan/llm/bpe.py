@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
 import regex
 
@@ -14,11 +15,14 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 UNIT = r"(?:\s*[^\S ])?'(?:s|t|re|ve|m|ll|d)|\s*\p{L}+|\s*\p{N}+|\s*[^\s\p{L}\p{N}]+|\s+"
 #: A space beside other white space. A text without it can be cut at its spaces, which is faster.
 UNEVEN = re.compile(r" \s|\s ")
-CACHE_UNITS = 150_000
+CACHE_UNITS = 400_000
 CACHE_PIECES = 500_000
 CACHE_FITS = 1_000_000
 LONG_UNIT = 64
+CACHE_STATES = 300_000
+SHORT_PREFIX = 10
 START = 1 << 19
+PRIVATE = 0xE000
 _SPACE = r"\p{White_Space}"
 
 
@@ -56,10 +60,17 @@ class UnitBytes:
     def __init__(self, make):
         self.units = compiled(UNIT)
         self.by_unit = UnitCache(make)
-        of_units = lambda text: b"".join(map(self.by_unit.__getitem__, self.units.findall(text)))
+        of_units = lambda text: b"".join(map(self.by_unit.__getitem__, self.split(text)))
         self.of_units = of_units
         self.by_piece = UnitCache(lambda piece: of_units(" " + piece), CACHE_PIECES)
 
+    def split(self, text: str) -> list[str]:
+        """The units of a text. Characters without a category yet count as symbols, as in the tokenizer library."""
+        odd = () if text.isascii() else {ord(c): PRIVATE for c in set(text) if unicodedata.category(c) == "Cn"}
+        if not odd:
+            return self.units.findall(text)
+        return [text[m.start() : m.end()] for m in self.units.finditer(text.translate(odd))]
+
     def of(self, text: str) -> bytes:
         if UNEVEN.search(text):
             return self.of_units(text)
@@ -91,6 +102,7 @@ class Vocabulary:
         #: Whether numbers of tokens follow the order of the merges.
         self.ordered = made == sorted(made) and len(set(made)) == len(made) and all(i < made[0] for i in self.bytes if i not in self.parts)
         self.fits: dict[int, bool] = {}
+        self.states: dict[bytes, int] = {}
         self.special_ids = {t["content"]: t["id"].to_bytes(4, "little") for t in content["added_tokens"]}
         self.pretokens = compiled(PRETOKEN)
         self.leading = compiled(r"\s*")
@@ -145,8 +157,14 @@ class Vocabulary:
         The last token of a prefix is the one token that ends there and stays as it is after the last token of
         what comes before it, so one pass finds the counts of all prefixes.
         """
-        endings, fits, counts, last = self.endings, self.fits, [0], [START]
+        endings, fits, states, counts, last = self.endings, self.fits, self.states, [0], [START]
         for end in range(1, len(text) + 1):
+            if end <= SHORT_PREFIX:  # many units begin alike
+                state = states.get(text[:end])
+                if state is not None:
+                    counts.append(state >> 20)
+                    last.append(state & 0xFFFFF)
+                    continue
             for start in range(end - 1, -1, -1):
                 token = endings[text[start:end]]
                 if token >= 0:
@@ -158,6 +176,10 @@ class Vocabulary:
                         counts.append(counts[start] + 1)
                         last.append(token)
                         break
+            if end <= SHORT_PREFIX:
+                if len(states) >= CACHE_STATES:
+                    states.clear()
+                states[text[:end]] = counts[end] << 20 | last[end]
         return counts
 
     def char_counts(self, text: str) -> list[int]:

@@ -35,9 +35,9 @@ class PrefixCounter:
         pieces = cut_specials(text, self.vocabulary.specials)
         if len(pieces) == 1:
             return self.known.of(text)
-        units, out = self.known.units, []
+        out = []
         for ordinary, special in zip(pieces[::2], [*pieces[1::2], None], strict=True):
-            found = units.findall(ordinary)
+            found = self.known.split(ordinary)
             if special is not None:  # its prefixes are ordinary text that goes on after the last unit
                 last = found.pop() if found else ""
             out += map(self.known.by_unit.__getitem__, found)
@@ -48,7 +48,7 @@ class PrefixCounter:
     def _up_to_special(self, last: str, special: str) -> list[int]:
         counts = [0]
         for end in range(1, len(last) + len(special)):
-            units = self.known.units.findall((last + special)[:end]) if end > len(last) else [last[:end]]
+            units = self.known.split((last + special)[:end]) if end > len(last) else [last[:end]]
             counts.append(sum(self.vocabulary.unit_counts(u)[-1] for u in units))
         return [*counts, counts[len(last)] + 1]
 
