@@ -10,13 +10,14 @@ their length; ranks come from counts per block of pieces, so a length that very
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from leakscan.llm.bpe import UnitBytes, Vocabulary, cut_specials
+from leakscan.llm.bpe import CACHE_PIECES, PRETOKEN, UNEVEN, UnitCache, Vocabulary, cut_specials
 from leakscan.llm.common import materialize, partitions
 
 CAPACITY = 1024
@@ -32,17 +33,23 @@ class TokenIds:
 
         vocabulary = Vocabulary(path)
         if vocabulary.ordered:  # the ids are ranks, which the faster library takes
-            encode = tiktoken.Encoding("ids", pat_str=r"[\s\S]+", mergeable_ranks=vocabulary.ids, special_tokens={}).encode_ordinary
+            encode = tiktoken.Encoding("ids", pat_str=PRETOKEN, mergeable_ranks=vocabulary.ids, special_tokens={}).encode_ordinary
         else:
             library = Tokenizer.from_file(path)
-            encode = lambda unit: library.encode(unit, add_special_tokens=False).ids
-        pretokens = vocabulary.pretokens
-        self.known = UnitBytes(lambda unit: b"".join(np.asarray(encode(p), "<u4").tobytes() for p in pretokens.findall(unit)))
+            encode = lambda text: library.encode(text, add_special_tokens=False).ids
+        self.encode = lambda text: array("I", encode(text)).tobytes()
+        self.by_piece = UnitCache(lambda piece: self.encode(" " + piece), CACHE_PIECES)
         self.specials, self.special_ids = vocabulary.specials, vocabulary.special_ids
 
+    def ordinary(self, text: str) -> bytes:
+        if UNEVEN.search(text):
+            return self.encode(text)
+        first, *rest = text.split(" ")
+        return self.encode(first) + b"".join(map(self.by_piece.__getitem__, rest))
+
     def of(self, text: str) -> bytes:
         pieces = cut_specials(text, self.specials)
-        return b"".join(self.special_ids[p] if i % 2 else self.known.of(p) for i, p in enumerate(pieces))
+        return b"".join(self.special_ids[p] if i % 2 else self.ordinary(p) for i, p in enumerate(pieces))
 
 
 def _pieces(path: str, capacity: int, end: int):
