@@ -52,7 +52,7 @@ def _with_features(docs: DataFrame, keep_row: bool) -> DataFrame:
     frame = packed_row(docs if keep_row else docs.select("doc_id", "text"), row_id=F.monotonically_increasing_id(), doc_id=docs["doc_id"].cast("long"), text=docs["text"].cast("string"))
     frame = frame if keep_row else frame.drop("row")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-    return materialize(frame.mapInArrow(_features, f"{kinds}, {_FEATURES}"), "features")
+    return materialize(frame.mapInArrow(_features, f"{kinds}, {_FEATURES}"), "features", "zstd")
 
 
 def _classes(features: DataFrame) -> DataFrame:
@@ -110,9 +110,9 @@ def _compared(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return joined.select("left", "right", "left_tokens", "right_tokens").mapInArrow(_matches, "left long, right long, matches long")
 
 
-def _confirmed(pairs: DataFrame, features: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (u, v): pairs whose full sets are similar enough."""
-    text = lambda name: features.select(F.col("row_id").alias(name), F.col("text").alias(f"{name}_text"))
+    text = lambda name: texts.select(F.col("rep").alias(name), F.col("text").alias(f"{name}_text"))
     joined = pairs.select("left", "right").join(text("left"), "left").join(text("right"), "right")
     return joined.mapInArrow(_confirm, "u long, v long")
 
@@ -217,13 +217,12 @@ def _by_list(rows: DataFrame) -> DataFrame:
     return rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
 
 
-def _rest(open_lists: DataFrame, signatures: DataFrame, posted: DataFrame, features: DataFrame) -> DataFrame:
+def _rest(open_lists: DataFrame, signatures: DataFrame, posted: DataFrame, texts: DataFrame) -> DataFrame:
     """Links for all retained pairs across components, confirmed on the full sets block by block."""
     rows = _block_rows(open_lists, SIGNATURE_BLOCK).join(signatures, "rep").join(posted, "rep")
     met = _by_list(rows).mapInArrow(_meeting, "token long, rep long, root long").distinct()
     met = materialize(met, "met")
     counted = met.join(met.groupBy("token").agg(F.count("*").alias("n")), "token")
-    texts = features.select(F.col("row_id").alias("rep"), "text")
     rows = _block_rows(counted, TEXT_BLOCK).join(texts, "rep").select("token", "low", "high", "block", "rep", "root", "text")
     return _by_list(rows).mapInArrow(_linked, "u long, v long")
 
@@ -233,12 +232,15 @@ def _links(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = _classes(features)
     signatures = materialize(classes.join(features.select("row_id", "n_shingles", "tokens"), F.col("rep") == F.col("row_id")).select("rep", "n_shingles", "tokens"), "signatures")
     posted = _posted(signatures)
+    # the one shuffle of all texts: only those of posted sets are needed from here on
+    texts = features.select(F.col("row_id").alias("rep"), "text").join(posted.select("rep").hint("merge"), "rep", "left_semi")
+    texts = materialize(texts, "texts", "zstd")
     postings = posted.select("rep", F.explode("posted").alias("token"))
     alone = classes.sparkSession.createDataFrame([], "node long, root long")
     pairs = materialize(_star(_labelled(postings, alone), signatures), "pairs")
-    links = materialize(_confirmed(pairs, features), "links")
+    links = materialize(_confirmed(pairs, texts), "links")
     roots = components(links)
-    rest = materialize(_rest(materialize(_labelled(postings, roots), "open"), signatures, posted, features), "links")
+    rest = materialize(_rest(materialize(_labelled(postings, roots), "open"), signatures, posted, texts), "links")
     return classes, components(links.unionByName(rest))
 
 
