@@ -7,6 +7,10 @@ time. The fences of a group are its outer quartiles plus three times their dista
 nearer to them than a stated least distance. Groups with few documents take the fences of
 their language, and languages with few documents those of the corpus; those sketches are
 sums of the group sketches, so no text is read again.
+
+With those distances the spread of a group seldom matters. ``TailRules`` adds fences that only
+the spread sets: sketches of the documents that pass the base rules, and for rates, which are
+mostly 0, of those above 0. A document has to lie within both.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from leakscan.llm.common import SEPARATORS, attach, let, materialize, null_safe,
 
 SYMBOLS = "#*$%&|<>"
 METRICS = ("word_length", "symbol_rate", "line_repeat_rate", "word_repeat_rate")
+#: Count, whole and least event of each rate: one symbol, one repeated line, one window of three words that is there twice.
+RATES = {"symbol_rate": ("n_symbols", "word_chars", 1), "line_repeat_rate": ("n_dup_lines", "n_lines", 1), "word_repeat_rate": ("n_repeat_words", "n_words", 6)}
 
 
 @dataclass(frozen=True)
@@ -38,6 +44,15 @@ class QualityRules:
         return getattr(self, f"least_{metric}")
 
 
+@dataclass(frozen=True)
+class TailRules(QualityRules):
+    """The same rules and, beside them, fences without a least distance.
+
+    All fences come from documents that pass the base rules. A fence of the second kind is the outer quartile plus ``fence`` times the distance of the quartiles. It is
+    wider only by what a sketch bucket rounds off, and a rate may exceed it by one event.
+    """
+
+
 def _repeat_words(hashes: Column) -> Column:
     """Words in three-word windows that the text has twice or more; ``hashes`` has one hash per window."""
 
@@ -141,24 +156,59 @@ def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def fences(measured: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """Lower and upper fence of each ratio per language and source, one row per group, written once."""
-    groups = materialize(sketch(measured), "sketch")
-    spread = [F.struct("q1", "q3", "size").alias("q")]
-    own = quartiles(groups, ["lang_key", "source_key"]).select("lang_key", "source_key", "metric", *spread)
-    lang = quartiles(merge(groups, ["lang_key"]), ["lang_key"]).select("lang_key", "metric", F.struct("q1", "q3", "size").alias("by_lang"))
-    whole = quartiles(merge(groups, []), []).select("metric", F.struct("q1", "q3", "size").alias("by_all"))
-    least = F.create_map(*[F.lit(x) for m in METRICS for x in (m, rules.least(m))])
-    chosen = own.join(lang, ["lang_key", "metric"]).join(F.broadcast(whole), "metric").withColumn(
-        "use",
+def _chosen(groups: DataFrame, rules: QualityRules) -> DataFrame:
+    """``own`` size and the quartiles to ``use`` of each group and ratio: those of the group, its language or the corpus."""
+    spread = F.struct("q1", "q3", "size")
+    own = quartiles(groups, ["lang_key", "source_key"]).select("lang_key", "source_key", "metric", spread.alias("q"))
+    lang = quartiles(merge(groups, ["lang_key"]), ["lang_key"]).select("lang_key", "metric", spread.alias("by_lang"))
+    whole = quartiles(merge(groups, []), []).select("metric", spread.alias("by_all"))
+    use = (
         F.when(F.col("q.size") >= rules.min_group, F.col("q"))
         .when(F.col("by_lang.size") >= rules.min_group, F.col("by_lang"))
-        .otherwise(F.col("by_all")),
+        .otherwise(F.col("by_all"))
     )
+    return own.join(lang, ["lang_key", "metric"]).join(F.broadcast(whole), "metric").select(
+        "lang_key", "source_key", "metric", F.col("q.size").alias("own"), use.alias("use"))
+
+
+def _picks(ends: tuple[str, ...]) -> list[Column]:
+    return [F.max(F.when(F.col("metric") == m, F.col(end))).alias(f"{end}_{m}") for m in METRICS for end in ends]
+
+
+def _tail_sketch(measured: DataFrame) -> DataFrame:
+    """Sketch of the documents that pass the base rules.
+
+    Each group has every ratio, if need be with a count of 0 only, so that it can take its language's or the corpus' quartiles.
+    """
+    none = F.explode(F.array(*[F.lit(m) for m in METRICS])).alias("metric")
+    names = ["lang_key", "source_key", "metric", "bucket", "n"]
+    every = measured.select("lang_key", "source_key").distinct().select("lang_key", "source_key", none, F.lit(-1).alias("bucket"), F.lit(0).cast("long").alias("n"))
+    return sketch(measured.where(~F.col("base_failed"))).select(*names).unionByName(every)
+
+
+def _tail_bounds(groups: DataFrame, rules: QualityRules) -> DataFrame:
+    """``tail_low_*`` and ``tail_high_*`` per language and source; null if nothing in the corpus sets a fence."""
+    tails = groups.where((F.col("metric") == "word_length") | (F.col("bucket") != 0))
+    bucket_width = lambda end: F.expr(f"1 + use.{end} div 32")
+    width = rules.fence * (F.col("use.q3") - F.col("use.q1"))
+    bound = _chosen(tails, rules).where(F.col("use.size") > 0).select(
+        "lang_key", "source_key", "metric",
+        (F.col("use.q1") - width - bucket_width("q1")).alias("tail_low"), (F.col("use.q3") + width + bucket_width("q3")).alias("tail_high"))
+    return bound.groupBy("lang_key", "source_key").agg(*_picks(("tail_low", "tail_high")))
+
+
+def fences(measured: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """Lower and upper fence of each ratio per language and source, one row per group, written once."""
+    tails = isinstance(rules, TailRules)
+    groups = materialize(_tail_sketch(measured) if tails else sketch(measured), "sketch")
+    least = F.create_map(*[F.lit(x) for m in METRICS for x in (m, rules.least(m))])
     width = F.greatest(rules.fence * (F.col("use.q3") - F.col("use.q1")), least[F.col("metric")])
-    bound = chosen.select("lang_key", "source_key", "metric", F.col("q.size").alias("size"), (F.col("use.q1") - width).alias("low"), (F.col("use.q3") + width).alias("high"))
-    picks = [F.max(F.when(F.col("metric") == m, F.col(end))).alias(f"{end}_{m}") for m in METRICS for end in ("low", "high")]
-    return materialize(bound.groupBy("lang_key", "source_key").agg(F.max("size").alias("group_size"), *picks), "fences")
+    bound = _chosen(groups, rules).select("lang_key", "source_key", "metric", F.col("own").alias("size"), (F.col("use.q1") - width).alias("low"), (F.col("use.q3") + width).alias("high"))
+    found = bound.groupBy("lang_key", "source_key").agg(F.max("size").alias("group_size"), *_picks(("low", "high")))
+    if tails:
+        rows = measured.groupBy("lang_key", "source_key").agg(F.count("*").alias("group_size"))
+        found = found.drop("group_size").join(rows, ["lang_key", "source_key"]).join(_tail_bounds(groups, rules), ["lang_key", "source_key"], "left")
+    return materialize(found, "fences")
 
 
 def judge(measured: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -168,6 +218,12 @@ def judge(measured: DataFrame, rules: QualityRules = QualityRules()) -> DataFram
     for metric in METRICS:
         inside = inside & (F.col(metric) <= F.col(f"high_{metric}"))
     inside = inside & (F.col("word_length") >= F.col("low_word_length"))
+    if isinstance(rules, TailRules):
+        within = F.col("word_length").between(F.col("tail_low_word_length"), F.col("tail_high_word_length"))
+        inside = inside & F.coalesce(within, F.lit(True))
+        for metric, (count, whole, event) in RATES.items():
+            within = 1000 * (F.col(count) - event) <= F.col(f"tail_high_{metric}") * F.col(whole)
+            inside = inside & F.coalesce(within, F.lit(True))
     return bounded.withColumn("kept", ~F.col("base_failed") & inside)
 
 
