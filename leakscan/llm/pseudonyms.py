@@ -4,7 +4,7 @@ A found value is validated first: card numbers by their check digit, addresses b
 of their parts, dates by the calendar. Its digits then go through a keyed Feistel network, a
 permutation of all digit strings of that length, so the result has the same format and equal values
 get equal pseudonyms in every document. Separators and prefixes stay. A card number gets a
-fitting check digit; a date becomes another date of the 400-year cycle from 1800 to 2199; an
+fitting check digit; a date becomes another date of the 400-year cycle from 1800 to 2199 in the same form and order; an
 address becomes another address. With the key, ``inverse=True`` restores all of these.
 The name before a mail domain and 40-digit access tokens are replaced by letters and digits
 of a keyed digest of the same length, which links equal values but can't be restored.
@@ -20,16 +20,32 @@ ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 TOKEN = r"(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z])"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
-DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)"
-PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+DATE_FORM = r"\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4}"
+DATE = rf"(?<![\d/.-])(?:{DATE_FORM})(?![\d/-]|\.\d)"
+# International numbers: with an area code in brackets, of country code 1, and others of 8 to 15 digits in groups.
+ABROAD = (
+    r"\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    r"|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    r"|\+(?!\d{16})(?=(?:[ .()-]{0,2}\d){8})\d{1,3}(?:[ .-]?\(\d{1,4}\))?[ .-]?\d{1,4}(?:[ .-]?(?!\d{4}-\d)\d{2,4}){1,4}(?!\d)"
+)
+# National numbers: 3-3-4 digits, and those that begin with a 0.
+TEN = r"(?:1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+HOME = (
+    rf"{TEN}"
+    r"|0\d(?:[ .-]\d{2}){4}"
+    r"|(?:\(0\d{1,4}\) ?|0\d{1,4}[ /-])\d{3,4}[ -]?\d{3,4}"
+)
+PHONE = rf"(?<![\d+])(?:{ABROAD})|(?<![\w+./-])(?:{HOME})(?![\w/]|[.-]\d)"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<!\d)(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?!\d)"
+CARD = r"(?<!\d)(?:\d{4}(?<quad>[ -])\d{4}\k<quad>\d{4}\k<quad>\d{4}|\d{4}(?<six>[ -])\d{6}\k<six>\d{4,5}|\d{13,19})(?!\d)"
 #: The days of 400 years are 189 * 773, and day 0 of the cycle is 1800-01-01.
 CYCLE = (189, 773)
 FIRST_DAY = "1800-01-01"
+#: Steps to a date of the same form; at least a fifth of all dates has each form, so none is left out.
+STEPS = 256
 
-# CARD names its own first group, so it stands first.
-ANY = "|".join([CARD, TOKEN, EMAIL, PHONE, ADDRESS, DATE, SOCIAL])
+# A mailbox can have a name of digits only, so EMAIL stands before CARD.
+ANY = "|".join([EMAIL, CARD, TOKEN, PHONE, ADDRESS, DATE, SOCIAL])
 
 
 def _round_value(key: str, kind: str, size: Column, step: Column, half: Column) -> Column:
@@ -116,26 +132,65 @@ def _address(value: Column, key: str, inverse: bool) -> Column:
 
 
 def _date(value: Column, key: str, inverse: bool) -> Column:
-    form = F.when(value.rlike("^[0-9]{4}"), "yyyy-MM-dd").when(value.contains("/"), "dd/MM/yyyy").otherwise("dd.MM.yyyy")
-    iso = F.when(value.rlike("^[0-9]{4}"), value).otherwise(
-        F.concat(F.substr(value, F.lit(7), F.lit(4)), F.lit("-"), F.substr(value, F.lit(4), F.lit(2)), F.lit("-"), F.substr(value, F.lit(1), F.lit(2)))
-    )
-    day = F.datediff(iso.try_cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
+    """Another date in the same form.
+
+    The year stands first or last. With the year last, the day comes first if that is a date, else the month may (not with
+    dots). One-digit parts stay one digit. A form that not all dates have is met by permuting until a date has it, which the inverse undoes.
+    """
+    parts = F.split(value, "[/.-]")
+    first = F.regexp_extract(value, "[/.-]", 0)
+
+    def as_day(year: Column, month: Column, day: Column) -> Column:
+        iso = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+        return F.datediff(iso.try_cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
+
     rows, columns = (F.lit(n).cast("long") for n in CYCLE)
+    date_of = lambda d: F.date_add(F.lit(FIRST_DAY).cast("date"), d.cast("int"))
 
-    def swap(d: Column) -> Column:
-        pair = feistel(F.floor(d / columns), d % columns, rows, columns, key, "date", inverse)
-        moved = let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * columns + p["y"]).cast("int")))
-        text = let(moved, lambda m: F.when(form == "yyyy-MM-dd", F.date_format(m, "yyyy-MM-dd")).when(
-            form == "dd/MM/yyyy", F.date_format(m, "dd/MM/yyyy")).otherwise(F.date_format(m, "dd.MM.yyyy")))
-        return F.when((d >= 0) & (d < rows * columns), text).otherwise(value)
+    def once(d: Column) -> Column:
+        return let(feistel(F.floor(d / columns), d % columns, rows, columns, key, "date", inverse), lambda p: p["x"] * columns + p["y"])
+
+    def swap(s: Column) -> Column:
+        p, by_month, year_first = s["parts"], s["by_month"], s["year_first"]
+        month_at = F.when(year_first | ~by_month, F.lit(2)).otherwise(F.lit(1))
+        day_at = F.when(year_first, F.lit(3)).when(by_month, F.lit(2)).otherwise(F.lit(1))
+        short_month, short_day = (F.length(F.element_at(p, at)) == 1 for at in (month_at, day_at))
+
+        def fits(d: Column) -> Column:
+            return let(date_of(d), lambda m: (~short_month | (F.month(m) < 10)) & (~short_day | (F.day(m) < 10)) & (~by_month | (F.day(m) > 12)))
+
+        def step(found: Column, _: Column) -> Column:
+            return F.when(found["done"], found).otherwise(let(once(found["d"]), lambda d: F.struct(d.alias("d"), fits(d).alias("done"))))
+
+        def written(d: Column) -> Column:
+            number = lambda n, short: F.when(short, n.cast("string")).otherwise(F.lpad(n.cast("string"), 2, "0"))
+            joined = lambda a, b, c: F.concat(a, s["first"], b, s["first"], c)
+            month, day, year = number(F.month(d), short_month), number(F.day(d), short_day), F.year(d).cast("string")
+            return F.when(year_first, joined(year, month, day)).when(
+                by_month, joined(month, day, year)).otherwise(joined(day, month, year))
+
+        walk = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(s["d"].alias("d"), F.lit(False).alias("done")), step)
+        plain = ~short_month & ~short_day & ~by_month
+        moved = F.when(plain, F.struct(once(s["d"]).alias("d"), F.lit(True).alias("done"))).otherwise(walk)
+        return F.when((s["d"] >= 0) & (s["d"] < rows * columns), let(moved, lambda m: F.when(m["done"], written(date_of(m["d"]))).otherwise(value))).otherwise(value)
+
+    def read(p: Column) -> Column:
+        year_first = F.length(p[0]) == 4
+        days_first = F.when(year_first, as_day(p[0], p[1], p[2])).otherwise(as_day(p[2], p[1], p[0]))
+        by_month = days_first.isNull() & ~year_first & (first != ".")
+        day = F.when(by_month, as_day(p[2], p[0], p[1])).otherwise(days_first)
+        return F.struct(p.alias("parts"), first.alias("first"), year_first.alias("year_first"), by_month.alias("by_month"), day.alias("d"))
 
-    return let(day, swap)
+    return let(let(parts, read), swap)
 
 
 def _phone(value: Column, key: str, inverse: bool) -> Column:
-    """The country code stays; the ten digits after it are permuted."""
-    cut = F.locate("(", value)
+    """The country code or leading 0 or 1 stays; the digits after it are permuted."""
+    bracket = F.locate("(", value)
+    known = value.rlike(r"^\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}$")
+    head = F.regexp_extract(value, r"^(?:\+1|\+\d{1,3}(?=[ .(-])|\+\d|\(?0)", 0)
+    head = F.when(value.rlike(f"^(?:{TEN})$"), F.regexp_extract(value, r"^(?:1[ .-])?", 0)).otherwise(head)
+    cut = F.when(known, bracket).otherwise(F.length(head) + 1)
     local = F.substr(value, cut)
     return F.concat(F.substr(value, F.lit(1), cut - 1), _refill(local, permute_digits(_only_digits(local), key, "phone", inverse)))
 
@@ -161,7 +216,8 @@ def pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
         .when(whole(r"[0-9A-Fa-f]{40}"), token)
         .when(whole(r"\d{1,3}(?:\.\d{1,3}){3}"), _address(value, key, inverse))
         .when(whole(r"\d{3}-\d{2}-\d{4}"), _refill(value, permute_digits(_only_digits(value), key, "social", inverse)))
-        .when(F.length(value) == 10, _date(value, key, inverse))
+        .when(whole(DATE_FORM), _date(value, key, inverse))
+        .when(whole(HOME), _phone(value, key, inverse))
         .otherwise(_card(value, key, inverse))
     )
 
