@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leakscan.llm import embedding_dedup, lm_scores, mixture, near_dedup, packing, pseudonyms, quality, repeats, token_counts, warc_fixity
+from leakscan.llm import (
+    embedding_dedup, lm_scores, mixture, near_dedup, packing, periodic_runs, pseudonyms, quality, repeats, sentence_pieces, token_alignment,
+    token_counts, warc_fixity,
+)
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 #: Stands for a secret that a deployment reads from its own store.
 PSEUDONYM_KEY = "example-key-1"
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(VOCABULARY))
+    return str(public_tokenizers.path(name))
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +70,36 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix_report(_read(spark, sf_dir, "documents"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; in a tenth of the documents, by a hash of the id, all words from one on repeat with a period."""
+    hashed = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8"))
+    planted = """
+        transform(array(named_struct('w', w, 'a', _g % size(w), 'p', 1 + (size(w) - _g % size(w)) div (3 + _g % 8))),
+                  v -> array_join(transform(sequence(0, size(v.w) - 1), i -> v.w[int(if(i < v.a, i, v.a + (i - v.a) % v.p))]), ' '))[0]"""
+    split = r"filter(split(text, '[\\x20\\x09-\\x0D]+', -1), x -> x <> '')"
+    text = F.expr(f"CASE WHEN _h % 10 = 0 THEN transform(array({split}), w -> if(size(w) > 0, {planted}, ''))[0] ELSE text END")
+    return docs.select("doc_id", "text", hashed.alias("_h")).withColumn("_g", F.expr("_h div 10")).select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(periodic_runs.periodic_runs(with_planted_runs(_read(spark, sf_dir, "documents"))))
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path(PIECE_MODEL)
+    return sentence_pieces.round_trip_report(sentence_pieces.decode(sentence_pieces.encode(_read(spark, sf_dir, "documents"), path), path))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return token_alignment.alignment_report(token_alignment.align_tokens(documents, vocabulary_path(), vocabulary_path(PIECE_MODEL)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_best_fit_packing, op3_embedding_near_dedup, op4_warc_fixity, op5_backoff_scores, op6_pseudonyms, op7_quality_rules, op8_minhash_near_dedup, op9_repeated_passages, op10_source_mixture)
+    found = (
+        op1_token_counts, op2_best_fit_packing, op3_embedding_near_dedup, op4_warc_fixity, op5_backoff_scores, op6_pseudonyms, op7_quality_rules,
+        op8_minhash_near_dedup, op9_repeated_passages, op10_source_mixture, op11_periodic_runs, op12_sentence_pieces, op13_token_alignment,
+    )
     return {query.__name__: query for query in found}
 
 
