@@ -5,7 +5,7 @@ Every split covers its whole table: each row is on the train side or on the test
 
 from __future__ import annotations
 
-import importlib.util
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -219,6 +219,26 @@ def csv_audit_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark.read.parquet(f"{folder}/findings/summary"))
 
 
+def csv_text_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies in CSV files whose columns look like truth values, numbers or dates on one side, or in part, only."""
+    orders = ls.stratified_row_split(_read(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus")
+    month = F.trunc("o_orderdate", "MM")
+    rows = orders.select(
+        "o_orderkey",
+        "split",
+        F.expr("CASE o_custkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE if(split = 'test', 'maybe', 'no') END").alias("answer"),
+        F.expr("concat(o_custkey % 4, if(o_orderkey % 2 = 0, 'D', 'F'))").alias("code"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.date_format(month, "yyyy-M-d")).otherwise(F.date_format(month, "yyyy-MM-dd")).alias("month"),
+        F.expr("concat(o_custkey % 6, if(split = 'test', '.0', ''))").alias("size"),
+    )
+    folder = f"{scratch_root(spark)}/csv-text-{uuid.uuid4().hex}"
+    pair = ls.split_pair(rows)
+    for side in ("train", "test"):
+        getattr(pair, side).write.csv(f"{folder}/{side}", header=True)
+    found = ls.audit_job(spark, f"{folder}/train", f"{folder}/test", ["answer", "code", "month", "size"], id_columns=["o_orderkey"])
+    return _rounded(found.row_matches).withColumns({name: F.col(name).cast("long") for name in ("test_id", "train_id")})
+
+
 def stratified_split_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _read(spark, sf_dir, "orders")
     return ls.stratified_row_split(orders, "o_orderkey", "o_orderstatus").select("o_orderkey", "split")
@@ -429,6 +449,7 @@ _QUERIES = (
     default_features_part,
     audit_both_splits_orders,
     csv_audit_orders,
+    csv_text_columns,
     stratified_split_orders,
     stratified_split_labels,
     group_split_orders,
@@ -686,6 +707,16 @@ def core_oracle_sql() -> dict[str, str]:
             {_order_summary(by_row, 1.0, "'random' AS split_kind,")}
             UNION ALL {_order_summary(_grouped("orders", "o_custkey"), 1.0, "'group' AS split_kind,")}""",
         "csv_audit_orders": _order_summary(order_rows, 5.0),
+        "csv_text_columns": f"""
+            WITH rows AS (
+                SELECT *, CASE o_custkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE CASE split WHEN 'test' THEN 'maybe' ELSE 'no' END END AS answer,
+                       (o_custkey % 4) || CASE o_orderkey % 2 WHEN 0 THEN 'D' ELSE 'F' END AS code,
+                       strftime(date_trunc('month', o_orderdate), CASE o_orderkey % 5 WHEN 0 THEN '%Y-%-m-%-d' ELSE '%Y-%m-%d' END) AS month, o_custkey % 6 AS size
+                FROM {by_row})
+            SELECT q.o_orderkey AS test_id, min(t.o_orderkey) AS train_id, CAST(0 AS DOUBLE) AS distance, 'exact' AS kind
+            FROM rows q JOIN rows t ON q.split = 'test' AND t.split = 'train' AND q.answer = t.answer AND q.code = t.code
+              AND q.month = t.month AND q.size = t.size
+            GROUP BY q.o_orderkey""",
         "stratified_split_orders": f"SELECT o_orderkey, split FROM {by_row}",
         "stratified_split_labels": f"SELECT doc_id, split FROM {_stratified('labels', 'doc_id', 'toxic')}",
         "group_split_orders": f"SELECT o_orderkey, split FROM {_grouped('orders', 'o_custkey')}",
@@ -766,13 +797,13 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _training_data() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
-    """Queries and SQL of the optional subpackage for training data; none if it is not there."""
-    found, sql = {}, {}
-    if importlib.util.find_spec("leakscan.llm"):
+    """Queries and SQL of the optional subpackage for training data; none if it can't be imported."""
+    try:
         from leakscan.llm import queries as training
-
-        found, sql = training.queries(), training.oracle_sql()
-    if found and importlib.util.find_spec("corpus_pipeline"):
+    except ImportError:
+        return {}, {}
+    found, sql = training.queries(), training.oracle_sql()
+    with contextlib.suppress(ImportError):
         import corpus_pipeline
 
         found["pipeline"] = corpus_pipeline.run

@@ -22,6 +22,7 @@ from leakscan.plans.audit import (
     audit_both_splits,
     audit_job,
     audit_split,
+    audit_splits,
     check_expectations,
     require_clean,
 )
@@ -53,6 +54,7 @@ __all__ = [
     "apply_scaler",
     "apply_target_encoding",
     "audit_both_splits",
+    "audit_splits",
     "audit_job",
     "audit_split",
     "binary_metrics",

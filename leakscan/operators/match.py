@@ -365,9 +365,9 @@ def _chunk_table(counts: DataFrame, chunk_rows: int) -> DataFrame:
     return materialize(cut, "hot_cells")
 
 
-def _chunked(entries: DataFrame, chunks: DataFrame, on: Sequence[str], own: str, other: str, name: str) -> DataFrame:
-    """Put each entry in one chunk of its side and repeat it for every chunk of the other side."""
-    spread = F.pmod(F.xxhash64(name), F.coalesce(F.col(own), F.lit(1)).cast("bigint")).cast("int")
+def _chunked(entries: DataFrame, chunks: DataFrame, on: Sequence[str], own: str, other: str, vector: Sequence[str]) -> DataFrame:
+    """Put each entry in one chunk of its side, by its vector, and repeat it for every chunk of the other side."""
+    spread = F.pmod(F.xxhash64(*vector), F.coalesce(F.col(own), F.lit(1)).cast("bigint")).cast("int")
     return (
         entries.join(chunks, list(on), "left")
         .withColumn(f"_own{own}", spread)
@@ -389,8 +389,8 @@ def _nearest(
     numeric = [name for name in vector if name.startswith("_n")]
     ours, theirs = cells.train(train), cells.test(test)
     if chunks is not None:
-        ours = _chunked(ours, chunks, on, "_tc", "_qc", "train_id")
-        theirs = _chunked(theirs, chunks, on, "_qc", "_tc", "test_id")
+        ours = _chunked(ours, chunks, on, "_tc", "_qc", vector)
+        theirs = _chunked(theirs, chunks, on, "_qc", "_tc", vector)
         on = [*on, "_own_tc", "_own_qc"]
     ours = ours.selectExpr(*on, "train_id", *[f"{name} AS {name}t" for name in numeric])
     other = [f"{name}t" for name in numeric]

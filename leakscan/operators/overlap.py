@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from leakscan.functions import keys
 from leakscan.operators.lookup import lookup_join
@@ -55,6 +57,27 @@ def group_overlap(pair: SplitPair, group: str) -> DataFrame:
     )
 
 
+def shared_ids_of_splits(table: DataFrame, sides: Sequence[Column], group: str) -> DataFrame:
+    """``group_id`` and, for split i, ``n_train_<i>, n_test_<i>``, for several splits of one table in one scan and one shuffle.
+
+    Each of ``sides`` is true for a train row, false for a test row and null for a row of neither side.
+    """
+    dtype = table.schema[group].dataType
+    rows = table.select(
+        F.when(~keys.missing(group, dtype), keys.group_key(group, dtype)).alias("group_id"), *[side.alias(f"_s{i}") for i, side in enumerate(sides)]
+    ).where(F.col("group_id").isNotNull())
+    counts = [(F.count_if(F.col(f"_s{i}")).alias(f"n_train_{i}"), F.count_if(~F.col(f"_s{i}")).alias(f"n_test_{i}")) for i in range(len(sides))]
+    shared = [f"(n_train_{i} > 0 AND n_test_{i} > 0)" for i in range(len(sides))]
+    return rows.groupBy("group_id").agg(*[column for both in counts for column in both]).where(" OR ".join(shared))
+
+
+def overlap_of_split(ids: DataFrame, number: int) -> DataFrame:
+    """What ``group_overlap`` gives for one of the splits."""
+    both = (F.col(f"n_train_{number}") > 0) & (F.col(f"n_test_{number}") > 0)
+    label = keys.group_label(F.col("group_id"), ids.schema["group_id"].dataType)
+    return ids.where(both).select(label.alias("label"), F.col(f"n_train_{number}").alias("n_train"), F.col(f"n_test_{number}").alias("n_test"))
+
+
 def ordered_groups(overlap: DataFrame) -> DataFrame:
     """Shared ids in code-point order of their labels."""
     return overlap.orderBy("label")

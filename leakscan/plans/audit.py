@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from leakscan.errors import LeakageFound
 from leakscan.operators.features import resolve_features
 from leakscan.operators.match import Matches, SearchLimits, find_matches
-from leakscan.operators.overlap import OVERLAP_SCHEMA, group_overlap, group_preview
+from leakscan.operators.match_splits import find_matches_of_splits
+from leakscan.operators.overlap import OVERLAP_SCHEMA, group_overlap, group_preview, overlap_of_split, shared_ids_of_splits
 from leakscan.operators.validate import check_schema
 from leakscan.scratch import materialize
 from leakscan.settings import EXACT_ATOL, GROUP_RULE, NEAR_ATOL, PREVIEW_SIZE
-from leakscan.sources.pair import SplitPair, split_pair
+from leakscan.sources.pair import SplitPair, known_side
 from leakscan.sources.tables import read_pair, write_findings
 
 
@@ -120,17 +121,42 @@ def require_clean(summary: DataFrame) -> None:
         raise LeakageFound(row)
 
 
+def audit_splits(
+    table: DataFrame,
+    features: Sequence[str],
+    split_columns: dict[str, str],
+    group: str | None = None,
+    near_atol: float = NEAR_ATOL,
+    exact_atol: float = EXACT_ATOL,
+    id_columns: Sequence[str] = (),
+    limits: SearchLimits = SearchLimits(),
+) -> dict[str, SplitAudit]:
+    """The audits of several splits of one table, with one scan and one shuffle for row matches and one of each for groups.
+
+    ``split_columns`` maps a name to the column that holds ``train`` or ``test``; other values stop the audit. Rows, checks
+    and results are those of ``audit_split`` on each split.
+    """
+    features = tuple(features)
+    bare = table.drop(*split_columns.values())
+    numeric, categorical = check_schema(SplitPair(bare, bare), features, group, near_atol, exact_atol)
+    sides = [known_side(table, column, "train", "test") == "train" for column in split_columns.values()]
+    found = find_matches_of_splits(table, sides, numeric, categorical, near_atol, exact_atol, id_columns, limits)
+    shared = None if group is None else materialize(shared_ids_of_splits(table, sides, group), "shared_ids")
+    audits = {}
+    for number, (kind, matches) in enumerate(zip(split_columns, found, strict=True)):
+        overlap = table.sparkSession.createDataFrame([], OVERLAP_SCHEMA) if shared is None else overlap_of_split(shared, number)
+        audits[kind] = SplitAudit(
+            matches, _summary(matches, overlap, features, group, near_atol, exact_atol), matches.rows(), overlap
+        )
+    return audits
+
+
 def audit_both_splits(
     table: DataFrame, features: Sequence[str], group: str, split_columns: dict[str, str], **options
 ) -> DataFrame:
-    """Summaries of several splits of one table, with the name of the split in ``split_kind``.
-
-    ``split_columns`` maps a name to the column that holds ``train`` or ``test``.
-    """
+    """Summaries of several splits of one table, with the name of the split in ``split_kind``; see ``audit_splits``."""
     result = None
-    for kind, column in split_columns.items():
-        others = [name for name in split_columns.values() if name != column]
-        audit = audit_split(split_pair(table.drop(*others), column), features, group, **options)
+    for kind, audit in audit_splits(table, features, split_columns, group, **options).items():
         row = audit.summary.select(F.lit(kind).alias("split_kind"), "*")
         result = row if result is None else result.unionByName(row)
     return result

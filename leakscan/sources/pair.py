@@ -42,6 +42,16 @@ class SplitPair:
         return self.train.schema[name].dataType, self.test.schema[name].dataType
 
 
+def known_side(table: DataFrame, split_column: str, train_value: str, test_value: str, ignored_values: Sequence[str | None] = ()) -> Column:
+    """The split column, which stops the job at a value that is neither a side nor ignored."""
+    if split_column not in table.columns:
+        raise InputError(f"split column not in table: {split_column}")
+    side = F.col(f"`{split_column}`")
+    known = F.coalesce(side.isin(train_value, test_value, *[v for v in ignored_values if v is not None]), F.lit(None in ignored_values))
+    told = F.raise_error(F.concat(F.lit(f"unknown value in split column {split_column}: "), F.coalesce(side.cast("string"), F.lit("null"))))
+    return F.when(known, side).otherwise(told)
+
+
 def split_pair(
     table: DataFrame,
     split_column: str = "split",
@@ -53,12 +63,8 @@ def split_pair(
 
     Rows with any other split value stop the audit when they are read, unless the value (None for null) is ignored.
     """
-    if split_column not in table.columns:
-        raise InputError(f"split column not in table: {split_column}")
     side = F.col(f"`{split_column}`")
-    known = F.coalesce(side.isin(train_value, test_value, *[v for v in ignored_values if v is not None]), F.lit(None in ignored_values))
-    told = F.raise_error(F.concat(F.lit(f"unknown value in split column {split_column}: "), F.coalesce(side.cast("string"), F.lit("null"))))
-    table = table.withColumn(split_column, F.when(known, side).otherwise(told))
+    table = table.withColumn(split_column, known_side(table, split_column, train_value, test_value, ignored_values))
     return SplitPair(
         table.where(side == train_value).drop(split_column),
         table.where(side == test_value).drop(split_column),

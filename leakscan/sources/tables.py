@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from leakscan.settings import MISSING_TOKENS
+from leakscan.sources.literals import as_typed
 from leakscan.sources.pair import SplitPair
 
-INFERRED_TYPES = ("int", "bigint", "double", "timestamp", "boolean")
-
 
 def read_pair(
     spark: SparkSession,
@@ -21,22 +20,22 @@ def read_pair(
     missing_tokens: Sequence[str] = MISSING_TOKENS,
     **options: object,
 ) -> SplitPair:
-    """Read both sides with any Spark source; CSV has a header row and inferred types.
+    """Read both sides with any Spark source; CSV has a header row and types found by ``literals``.
 
     In CSV, an empty field and each of ``missing_tokens`` count as missing. Without ``schema`` all fields are read as text and types
-    are found in one more pass, so pass a schema for large input.
+    are found in one more pass over both sides, so that a column has one type; pass a schema for large input.
     """
 
     def load(path: str) -> DataFrame:
         reader = spark.read.format(fmt).options(**options)
-        if fmt != "csv":
-            return (reader if schema is None else reader.schema(schema)).load(path)
-        reader = spark.read.format(fmt).option("header", True).options(**options)
-        if schema is not None:
-            return _without_tokens(reader.schema(schema).load(path), missing_tokens)
-        return _typed(_without_tokens(reader.load(path), missing_tokens))
+        if fmt == "csv":
+            reader = spark.read.format(fmt).option("header", True).options(**options)
+        table = (reader if schema is None else reader.schema(schema)).load(path)
+        return _without_tokens(table, missing_tokens) if fmt == "csv" else table
 
-    return SplitPair(load(train_path), load(test_path))
+    sides = load(train_path), load(test_path)
+    texts = all(isinstance(f.dataType, T.StringType) for side in sides for f in side.schema.fields)
+    return SplitPair(*(as_typed(sides) if fmt == "csv" and schema is None and texts else sides))
 
 
 def _without_tokens(table: DataFrame, tokens: Sequence[str]) -> DataFrame:
@@ -45,20 +44,6 @@ def _without_tokens(table: DataFrame, tokens: Sequence[str]) -> DataFrame:
     return table.withColumns({name: F.when(~column.isin(*tokens), column) for name, column in texts.items()}) if tokens else table
 
 
-def _typed(table: DataFrame) -> DataFrame:
-    """Columns of text as the first of INFERRED_TYPES that reads all their values."""
-    columns = {name: F.col(f"`{name}`") for name in table.columns}
-    reads = [
-        F.coalesce(F.bool_and(F.when(column.isNotNull(), column.try_cast(kind).isNotNull())), F.lit(False)).alias(f"{i}_{kind}")
-        for i, column in enumerate(columns.values()) for kind in INFERRED_TYPES
-    ]
-    row = table.agg(*reads).first()
-    chosen = {
-        name: next((kind for kind in INFERRED_TYPES if row[f"{i}_{kind}"]), "string") for i, name in enumerate(columns)
-    }
-    return table.select(*[column.cast(chosen[name]).alias(name) for name, column in columns.items()])
-
-
 def expand_vectors(df: DataFrame, column: str, size: int, prefix: str | None = None) -> DataFrame:
     """Replace an array column by one double column per element; other lengths are an error."""
     prefix = column if prefix is None else prefix
