@@ -711,7 +711,8 @@ def core_oracle_sql() -> dict[str, str]:
             WITH rows AS (
                 SELECT *, CASE o_custkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE CASE split WHEN 'test' THEN 'maybe' ELSE 'no' END END AS answer,
                        (o_custkey % 4) || CASE o_orderkey % 2 WHEN 0 THEN 'D' ELSE 'F' END AS code,
-                       strftime(date_trunc('month', o_orderdate), CASE o_orderkey % 5 WHEN 0 THEN '%Y-%-m-%-d' ELSE '%Y-%m-%d' END) AS month, o_custkey % 6 AS size
+                       CASE o_orderkey % 5 WHEN 0 THEN strftime(date_trunc('month', o_orderdate), '%Y-%-m-%-d')
+                                           ELSE strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') END AS month, o_custkey % 6 AS size
                 FROM {by_row})
             SELECT q.o_orderkey AS test_id, min(t.o_orderkey) AS train_id, CAST(0 AS DOUBLE) AS distance, 'exact' AS kind
             FROM rows q JOIN rows t ON q.split = 'test' AND t.split = 'train' AND q.answer = t.answer AND q.code = t.code
