@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -69,8 +70,19 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[
         yield rest
 
 
+def per_process(kind: str, path: str, make: Callable[[str], object]) -> object:
+    """``make(path)``, kept for later tasks of the same Python worker; it must bound what it remembers.
+
+    Functions travel to workers by value, so a variable of a module would begin anew with each task.
+    """
+    kept = sys.__dict__.setdefault("leakscan_kept", {})
+    if (kind, path) not in kept:
+        kept[kind, path] = make(path)
+    return kept[kind, path]
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["attach", "grouped", "let", "materialize", "null_safe", "packed_row", "partitions", "words", "SEPARATORS", "SEPARATOR_RUN"]
+__all__ = ["attach", "grouped", "let", "materialize", "null_safe", "packed_row", "partitions", "per_process", "words", "SEPARATORS", "SEPARATOR_RUN"]

@@ -13,6 +13,7 @@ from __future__ import annotations
 import codecs
 import re
 from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leakscan.llm.bpe import UnitCache
+from leakscan.llm.common import per_process
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
-FITS = 1_500_000
-UNITS = 600_000
+FITS = 1_000_000
+UNITS = 400_000
+MOVES = 500_000
 NONE = float("-inf")
+WORD = re.compile(r"([A-Za-zÀ-ɏ]+)([\x00-@\[-`{-\x7f]*)\Z")
+SEAM = re.compile(r"(?<=[A-Za-zÀ-ɏ])(?=[\x00-@\[-`{-\x7f])|(?<=[\x00-@\[-`{-\x7f])(?=[A-Za-zÀ-ɏ])")
 
 History = list[tuple[float, str]]
 
@@ -57,6 +62,8 @@ class PieceModel:
         self.end = next((i for i in self.control if self.pieces[i] == trained.eos_piece), None)
         #: Whether a text can be cut before each run of spaces, as no piece goes on with a space after another character.
         self.cuts = not any(SPACE in piece.lstrip(SPACE) for piece in self.scores)
+        #: Whether no piece has a Latin letter beside an ASCII character that is none, so that texts can be cut there too.
+        self.words = self.cuts and not any(SEAM.search(piece) for piece in self.scores)
 
     def token_bytes(self) -> list[bytes]:
         """What each id stands for: a piece with spaces, a byte, nothing for control ids."""
@@ -64,24 +71,62 @@ class PieceModel:
         return [raw[i] if i in raw else piece.replace(SPACE, " ").encode() for i, piece in enumerate(self.pieces)]
 
 
+class Matches:
+    """An automaton over words: for each place of a text the words that end there, longest first.
+
+    Moves that go back over shorter endings are kept once they were made, up to a number of them.
+    """
+
+    def __init__(self, words: list[str]):
+        self.moves: list[dict[str, int]] = [{}]
+        #: The words that end in a state, as (number, length).
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]
+        for number, word in enumerate(words):
+            state = 0
+            for letter in word:
+                if letter not in self.moves[state]:
+                    self.moves[state][letter] = len(self.moves)
+                    self.moves.append({})
+                    self.ends.append(())
+                state = self.moves[state][letter]
+            self.ends[state] = ((number, len(word)),)
+        self.shorter, self.kept = [0] * len(self.moves), 0
+        waiting = deque(self.moves[0].values())
+        while waiting:
+            state = waiting.popleft()
+            for letter, longer in self.moves[state].items():
+                back = self.shorter[state]
+                while back and letter not in self.moves[back]:
+                    back = self.shorter[back]
+                self.shorter[longer] = back = self.moves[back].get(letter, 0)
+                self.ends[longer] += self.ends[back]
+                waiting.append(longer)
+
+    def move(self, state: int, letter: str) -> int:
+        back = state
+        while back and letter not in self.moves[back]:
+            back = self.shorter[back]
+        found = self.moves[back].get(letter, 0)
+        if self.kept < MOVES:
+            self.moves[state][letter], self.kept = found, self.kept + 1
+        return found
+
+
 class PieceEncoder:
     """Ids of texts, as the library gives them without begin and end ids."""
 
     def __init__(self, model: PieceModel):
-        import ahocorasick
-
         self.model, self.scores = model, model.scores
         #: Tokens: the pieces, and characters that occur in pieces only.
         self.tokens = list(dict.fromkeys([*model.scores, *sorted(set("".join(model.scores)))]))
         self.output = [self._bytes_of(token) for token in self.tokens]
-        self.automaton = ahocorasick.Automaton()
-        for number, token in enumerate(self.tokens):
-            self.automaton.add_word(token, (number, len(token)))
-        self.automaton.make_automaton()
+        self.lengths = [len(token) for token in self.tokens]
+        self.matches = Matches(self.tokens)
         self.fits: dict[int, bool] = {}
         self.own: dict[int, tuple[History, History] | None] = {}
         self.units = re.compile(f"{SPACE}+[^{SPACE}]*")
-        self.by_unit = UnitCache(self.unit_ids, UNITS)
+        self.by_part = UnitCache(self.unit_ids, UNITS)
+        self.by_word = UnitCache(self._joined, UNITS)
 
     def _bytes_of(self, token: str) -> bytes:
         if token in self.model.ids:
@@ -134,22 +179,28 @@ class PieceEncoder:
                 first = symbol
             seam = scores.get(last + first, NONE)
 
-    def last_tokens(self, text: str) -> list[int | None]:
-        """For the prefix of each length its last token; None after a character that is in no piece."""
-        last: list[int | None] = [None] * (len(text) + 1)
-        fits, many = self.fits, len(self.tokens)
+    def last_tokens(self, text: str) -> list[int]:
+        """For the prefix of each length its last token; -1 for the empty one and after a character that is in no piece."""
+        fits, many, matches = self.fits, len(self.tokens), self.matches
+        moves, ends, last, state = matches.moves, matches.ends, [-1], 0
         if len(fits) > FITS:
             fits.clear()
-        for at, (token, length) in self.automaton.iter(text):
-            if last[at + 1] is None:
-                before = last[at + 1 - length]
-                before = -1 if before is None else before
-                key = before * many + token
-                fit = fits.get(key)
-                if fit is None:
-                    fit = fits[key] = self._apart(before, token)
+        for letter in text:
+            try:
+                state = moves[state][letter]
+            except KeyError:
+                state = matches.move(state, letter)
+            for token, length in ends[state]:
+                key = last[-length] * many + token
+                try:
+                    fit = fits[key]
+                except KeyError:
+                    fit = fits[key] = self._apart(last[-length], token)
                 if fit:
-                    last[at + 1] = token
+                    last.append(token)
+                    break
+            else:
+                last.append(-1)
         return last
 
     def unit_ids(self, text: str) -> bytes:
@@ -157,21 +208,30 @@ class PieceEncoder:
         last, end, found = self.last_tokens(text), len(text), []
         while end:
             token = last[end]
-            if token is None:
+            if token < 0:
                 found.append(self._bytes_of(text[end - 1]))
                 end -= 1
             else:
                 found.append(self.output[token])
-                end -= len(self.tokens[token])
-        return b"".join(reversed(found))
+                end -= self.lengths[token]
+        found.reverse()
+        return b"".join(found)
+
+    def _joined(self, word: str) -> bytes:
+        """Ids of a space and a word without spaces, from those of its parts."""
+        plain = WORD.match(word)
+        if plain:
+            return self.by_part[SPACE + plain[1]] + self.by_part[plain[2]] if plain[2] else self.by_part[SPACE + word]
+        return b"".join(map(self.by_part.__getitem__, SEAM.split(SPACE + word)))
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
+        text = text.replace(SPACE, " ")
+        if self.model.words and "  " not in text and text[0] != " ":
+            return b"".join(map(self.by_word.__getitem__, text.split(" ")))
         text = SPACE + text.replace(" ", SPACE)
-        if not self.model.cuts:
-            return self.unit_ids(text)
-        return b"".join(map(self.by_unit.__getitem__, self.units.findall(text)))
+        return b"".join(map(self.by_part.__getitem__, self.units.findall(text))) if self.model.cuts else self.unit_ids(text)
 
 
 def _one_byte(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -205,9 +265,8 @@ def encode(docs: DataFrame, path: str, end: bool = True) -> DataFrame:
     """
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(path)
-        encoder = PieceEncoder(model)
-        tail = array("i", [model.end]).tobytes() if end else b""
+        encoder = per_process("encoder", path, lambda path: PieceEncoder(PieceModel(path)))
+        tail = array("i", [encoder.model.end]).tobytes() if end else b""
         for batch in batches:
             found = [encoder.ids(text.as_py() or "") + tail for text in batch.column("text")]
             offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
@@ -222,7 +281,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Per row of ``encoded``: ``doc_id``, ``ids`` and ``text``. Null ids give a null text; ids outside the model are an error."""
 
     def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = PieceDecoder(PieceModel(path))
+        decoder = per_process("decoder", path, lambda path: PieceDecoder(PieceModel(path)))
         for batch in batches:
             texts = [None if ids is None else decoder.text(ids) for ids in (row.as_py() for row in batch.column("ids"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from leakscan.llm.bpe import UnitBytes, Vocabulary, cut_specials
+from leakscan.llm.common import per_process
 
 LIMIT = 512
 
@@ -73,7 +74,7 @@ def prefix_token_counts(docs: DataFrame, path: str, limit: int = LIMIT, keep_ste
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = per_process("counter", path, PrefixCounter)
         for batch in batches:
             rows = []
             for text in batch.column("text"):
