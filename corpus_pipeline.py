@@ -1,11 +1,13 @@
 """From raw documents to packed sequences: quality, near duplicates, personal data, mixing, packing.
 
 Each stage works on all rows that the stage before it kept, gets them as a written table and
-returns the columns of ``documents``; the last one returns packed pieces.
+returns the columns of ``documents``; the last one returns packed pieces. What a stage returns must be
+written before the next one is called, which begins by deleting the intermediate tables of the stage before it.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -13,31 +15,51 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leakscan.llm import mixture, near_dedup, packing, pseudonyms, quality
 from leakscan.llm.queries import PSEUDONYM_KEY, vocabulary_path
-from leakscan.scratch import scratch_root
+from leakscan.scratch import discard, scratch_root, written_meanwhile
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Intermediate tables of the stage that was called last.
+_left: list[DataFrame] = []
 
+
+def _deleting(stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(*_left)
+        with written_meanwhile() as tables:
+            result = stage(spark, docs, sf_dir)
+        _left[:] = tables
+        return result
+
+    return run_stage
+
+
+@_deleting
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality.keep_good(docs, quality.TailRules())
 
 
+@_deleting
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id."""
     return near_dedup.drop_near_duplicates(docs)
 
 
+@_deleting
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and names of mailboxes become pseudonyms."""
     return pseudonyms.pseudonymize(docs, PSEUDONYM_KEY)
 
 
+@_deleting
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixture.mix(docs)
 
 
+@_deleting
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences with their place."""
     return packing.pack(docs, vocabulary_path())

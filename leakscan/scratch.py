@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,6 +75,19 @@ def discard(*tables: DataFrame) -> None:
         files.delete(folder, True)
 
 
+@contextlib.contextmanager
+def written_meanwhile() -> Iterator[list[DataFrame]]:
+    """A list that holds, at the end of the block, the tables written in it and not discarded since."""
+    tables: list[DataFrame] = []
+    with _lock:
+        before = {id(entry[0]) for entry in _written}
+    try:
+        yield tables
+    finally:
+        with _lock:
+            tables += [entry[0] for entry in _written if id(entry[0]) not in before]
+
+
 def release_scratch() -> int:
     """Delete every table this process still keeps; results that read them stop working."""
     count = len(_written)
