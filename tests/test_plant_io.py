@@ -105,20 +105,20 @@ def test_planting_integer_ids_and_groups(spark, table):
 def test_csv_job_strict_gate_and_findings(spark, tmp_path):
     def csv(name, rows):
         path = str(tmp_path / name)
-        spark.createDataFrame(rows, "x0 double, patient_id string, y int").coalesce(1).write.csv(path, header=True)
+        spark.createDataFrame(rows, "dose double, ward string, outcome int").coalesce(1).write.csv(path, header=True)
         return path
 
-    train = csv("train", [(0.0, "A", 0), (1.0, "B", 1)])
-    leaked = csv("leaked", [(8.0, "B", 1), (9.0, "C", 0)])
-    clean = csv("clean", [(8.0, "C", 1), (9.0, "D", 0)])
-    common = {"group": "patient_id", "target": "y"}
+    train = csv("train", [(2.5, "north", 1), (4.75, "east", 0), (6.0, "south", 1)])
+    leaked = csv("leaked", [(11.25, "south", 0), (13.5, "west", 1)])
+    clean = csv("clean", [(12.0, "west", 0), (14.5, "hill", 0), (17.0, "west", 1)])
+    common = {"group": "ward", "target": "outcome"}
     out = str(tmp_path / "deep" / "er" / "findings")
     with pytest.raises(LeakageFound, match="1 shared groups") as caught:
         audit_job(spark, train, leaked, output=out, strict=True, **common)
     assert caught.value.summary["n_overlapping_groups"] == 1
     written = spark.read.parquet(f"{out}/summary").first()
-    assert written.has_leakage and written.feature_columns == ["x0"]
-    assert [r.label for r in spark.read.parquet(f"{out}/group_overlap").collect()] == ["B"]
+    assert written.has_leakage and written.feature_columns == ["dose"]
+    assert [r.label for r in spark.read.parquet(f"{out}/group_overlap").collect()] == ["south"]
     assert spark.read.parquet(f"{out}/row_matches").count() == 0
     assert audit_job(spark, train, clean, strict=True, **common).has_leakage() is False
     with pytest.raises(Exception, match="(?i)path"):
