@@ -164,14 +164,18 @@ def _compared(cosine: float):
 def embedding_duplicates(vectors: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding): ``n_links``, ``component_id`` and ``kept``.
 
-    Null, empty and zero vectors and vectors with null or non-finite components link with nothing. Vectors must have
-    one length. Repeated rows are copies of each other; rows without ``vec_id`` take part and ``component_id`` is the
+    Null, empty and zero vectors and vectors with null or non-finite components link with nothing, nor do vectors whose length is
+    not the most frequent one (of equally frequent ones the longest). Repeated rows are copies of each other; rows without ``vec_id`` take part and ``component_id`` is the
     smallest id that there is. All rows are indexed; a pair is missed only where every tree separates it.
     """
     spark = vectors.sparkSession
     element = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
     rows = vectors.select(F.monotonically_increasing_id().alias("row_id"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{element}>").alias("vector"))
     rows = materialize(rows.mapInArrow(_named, f"row_id long, vec_id long, vector array<{element}>, name binary"), "vectors")
+    lengths = rows.where("name is not null").groupBy(F.size("vector").alias("length")).count()
+    length = lengths.orderBy(F.desc("count"), F.desc("length")).first()
+    if length is not None:
+        rows = rows.withColumn("name", F.when(F.size("vector") == length[0], F.col("name")))
     classes = materialize(rows.where("name is not null").groupBy("name").agg(
         F.min("row_id").alias("node"), F.min("vec_id").alias("low_id"), F.count("*").alias("copies"), F.any_value("vector").alias("vector")
     ), "classes")
