@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
@@ -277,3 +278,11 @@ def test_alignment_of_odd_rows(spark, library, most):
 def test_alignment_query(spark, library):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert Counter(map(tuple, op13_token_alignment(spark, SF).collect())) == slow_report(rows, library)
+
+
+def test_lists_of_sliced_columns():
+    rows = [[1, 2], None, [], [3, None], [4]]
+    column = pa.array(rows, pa.list_(pa.int32()))
+    assert list(sentence_pieces._lists(column)) == rows
+    assert list(sentence_pieces._lists(column.slice(1, 3))) == rows[1:4]
+    assert list(sentence_pieces._lists(column.slice(0, 0))) == []
