@@ -26,9 +26,12 @@ from leakscan.llm.common import per_process
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
-FITS = 1_000_000
-UNITS = 400_000
-MOVES = 500_000
+#: Bounds of what a worker keeps, in entries of 100 to 150 bytes.
+FITS = 400_000
+UNITS = 150_000
+MOVES = 250_000
+#: Rows that are held as ids or texts at a time.
+ROWS = 1000
 NONE = float("-inf")
 WORD = re.compile(r"([A-Za-zÀ-ɏ]+)([\x00-@\[-`{-\x7f]*)\Z")
 SEAM = re.compile(r"(?<=[A-Za-zÀ-ɏ])(?=[\x00-@\[-`{-\x7f])|(?<=[\x00-@\[-`{-\x7f])(?=[A-Za-zÀ-ɏ])")
@@ -268,6 +271,11 @@ def _lists(column: pa.ListArray) -> Iterator[list[int] | None]:
         yield row.to_pylist() if row.null_count else row.to_numpy().tolist()
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(start, ROWS) for start in range(0, batch.num_rows, ROWS))
+
+
 def encode(docs: DataFrame, path: str, end: bool = True) -> DataFrame:
     """Per row of ``docs``: ``doc_id`` and ``ids``, array<int>, with the end id of the model behind them if ``end``.
 
@@ -278,7 +286,7 @@ def encode(docs: DataFrame, path: str, end: bool = True) -> DataFrame:
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_process("encoder", path, lambda path: PieceEncoder(PieceModel(path)))
         tail = array("i", [encoder.model.end]).tobytes() if end else b""
-        for batch in batches:
+        for batch in _small(batches):
             found = [encoder.ids(text.as_py() or "") + tail for text in batch.column("text")]
             offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(found), np.int32))
@@ -293,7 +301,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = per_process("decoder", path, lambda path: PieceDecoder(PieceModel(path)))
-        for batch in batches:
+        for batch in _small(batches):
             texts = [None if ids is None else decoder.text(ids) for ids in _lists(batch.column("ids"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
