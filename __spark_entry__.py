@@ -6,13 +6,12 @@ Every split covers its whole table: each row is on the train side or on the test
 from __future__ import annotations
 
 import contextlib
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import leakscan as ls
-from leakscan.scratch import materialize, scratch_root
+from leakscan.scratch import claim, materialize
 
 CUT = "2000-01-01"
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -208,7 +207,7 @@ def audit_both_splits_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_audit_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{scratch_root(spark)}/csv-audit-{uuid.uuid4().hex}"
+    folder = claim(spark, "csv-audit")
     pair = ls.split_pair(_orders_by_date(spark, sf_dir))
     for side in ("train", "test"):
         getattr(pair, side).write.mode("overwrite").csv(f"{folder}/{side}", header=True)
@@ -231,7 +230,7 @@ def csv_text_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 5 == 0, F.date_format(month, "yyyy-M-d")).otherwise(F.date_format(month, "yyyy-MM-dd")).alias("month"),
         F.expr("concat(o_custkey % 6, if(split = 'test', '.0', ''))").alias("size"),
     )
-    folder = f"{scratch_root(spark)}/csv-text-{uuid.uuid4().hex}"
+    folder = claim(spark, "csv-text")
     pair = ls.split_pair(rows)
     for side in ("train", "test"):
         getattr(pair, side).write.csv(f"{folder}/{side}", header=True)
@@ -239,6 +238,71 @@ def csv_text_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found.row_matches).withColumns({name: F.col(name).cast("long") for name in ("test_id", "train_id")})
 
 
+def json_mixed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared ids of JSON files in which one field holds whole numbers, numbers with a fraction and texts."""
+    pair = ls.split_pair(_orders_by_date(spark, sf_dir))
+    line = """concat('{"order":', o_orderkey, ',"ref":', CASE o_orderkey % 4
+        WHEN 0 THEN concat('"', o_custkey, '"') WHEN 1 THEN concat(o_custkey % 900, '.50') WHEN 2 THEN 'null' ELSE string(o_custkey) END, '}')"""
+    folder = claim(spark, "json-mixed")
+    for side in ("train", "test"):
+        getattr(pair, side).selectExpr(line).write.text(f"{folder}/{side}")
+    mixed = ls.read_pair(spark, f"{folder}/train", f"{folder}/test", "json", "`order` bigint, ref variant")
+    return ls.group_overlap(mixed, "ref")
+
+
+def placed_matches_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of Parquet files without id columns, named by file and row, and whether each names two rows that match."""
+    sides = ls.split_pair(_orders_by_date(spark, sf_dir))
+    folder = claim(spark, "placed")
+    for side in ("train", "test"):
+        getattr(sides, side).write.parquet(f"{folder}/{side}")
+    paths = f"{folder}/train", f"{folder}/test"
+    found = ls.audit_job(spark, *paths, "o_totalprice, o_orderstatus", near_atol=5.0, fmt="parquet", row_ids="place").row_matches
+    pair = ls.read_pair(spark, *paths, "parquet", row_ids="place")
+    train, test = (
+        rows.select(F.col("place").alias(f"{side}_id"), F.struct("o_orderkey", "o_totalprice", "o_orderstatus").alias(side))
+        for side, rows in (("train", pair.train), ("test", pair.test))
+    )
+    agrees = (F.col("train.o_orderstatus") == F.col("test.o_orderstatus")) & (
+        F.abs(F.col("train.o_totalprice") - F.col("test.o_totalprice")) == F.col("distance")
+    )
+    return found.join(test, "test_id", "left").join(train, "train_id", "left").select(
+        "test.o_orderkey", F.round("distance", 6).alias("distance"), "kind", F.coalesce(agrees, F.lit(False)).alias("names_match")
+    )
+
+
+def _committed(spark: SparkSession, sf_dir: str) -> tuple[str, ls.WrittenFindings]:
+    audit = ls.audit_split(
+        ls.split_pair(_orders_by_date(spark, sf_dir)), ["o_totalprice", "o_orderstatus"], "o_custkey", near_atol=5.0, id_columns=["o_orderkey"]
+    )
+    path = claim(spark, "findings")
+    return path, ls.write_findings(audit, path)
+
+
+def committed_findings_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and a total of each part of committed findings, read back and held against their manifest."""
+    found = ls.read_findings(spark, _committed(spark, sf_dir)[0])
+    totals = {
+        "summary": F.sum(F.expr("exact_duplicate_rows + near_duplicate_rows")),
+        "row_matches": F.count_if(F.col("kind") == "exact"),
+        "group_overlap": F.sum("n_train"),
+    }
+    result = None
+    for part, total in totals.items():
+        row = getattr(found, part).agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n_rows"), F.coalesce(total, F.lit(0)).cast("long").alias("total"))
+        result = row if result is None else result.unionByName(row)
+    return result
+
+
+def gate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict, as the job that wrote the findings observed it."""
+    seen = _committed(spark, sf_dir)[1].summary
+    wanted = ("exact_duplicate_rows", "near_duplicate_rows", "n_overlapping_groups")
+    return spark.createDataFrame(
+        [(*[seen[name] for name in wanted], seen["has_leakage"])], ", ".join([*[f"{name} bigint" for name in wanted], "has_leakage boolean"])
+    )
+
+
 def stratified_split_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _read(spark, sf_dir, "orders")
     return ls.stratified_row_split(orders, "o_orderkey", "o_orderstatus").select("o_orderkey", "split")
@@ -450,6 +514,10 @@ _QUERIES = (
     audit_both_splits_orders,
     csv_audit_orders,
     csv_text_columns,
+    json_mixed_ids,
+    placed_matches_orders,
+    committed_findings_orders,
+    gate_orders,
     stratified_split_orders,
     stratified_split_labels,
     group_split_orders,
@@ -718,6 +786,21 @@ def core_oracle_sql() -> dict[str, str]:
             FROM rows q JOIN rows t ON q.split = 'test' AND t.split = 'train' AND q.answer = t.answer AND q.code = t.code
               AND q.month = t.month AND q.size = t.size
             GROUP BY q.o_orderkey""",
+        "json_mixed_ids": _overlap(
+            f"""(SELECT *, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN 'float:' || (o_custkey % 900) || '.5'
+                                               WHEN 2 THEN NULL ELSE 'int:' || o_custkey END AS ref FROM {order_rows})""",
+            "ref", "id",
+        ),
+        "placed_matches_orders": f"""
+            SELECT test_id AS o_orderkey, round(d, 6) AS distance, CASE WHEN d <= 1e-8 THEN 'exact' ELSE 'near' END AS kind, true AS names_match
+            FROM ({_order_best(order_rows, 5.0)})""",
+        "committed_findings_orders": f"""
+            WITH s AS ({_order_summary(order_rows, 5.0)})
+            SELECT 'summary' AS part, CAST(1 AS BIGINT) AS n_rows, exact_duplicate_rows + near_duplicate_rows AS total FROM s
+            UNION ALL SELECT 'row_matches', exact_duplicate_rows + near_duplicate_rows, exact_duplicate_rows FROM s
+            UNION ALL SELECT 'group_overlap', n_overlapping_groups, train_rows_with_overlapping_group FROM s""",
+        "gate_orders": f"""
+            SELECT exact_duplicate_rows, near_duplicate_rows, n_overlapping_groups, has_leakage FROM ({_order_summary(order_rows, 5.0)})""",
         "stratified_split_orders": f"SELECT o_orderkey, split FROM {by_row}",
         "stratified_split_labels": f"SELECT doc_id, split FROM {_stratified('labels', 'doc_id', 'toxic')}",
         "group_split_orders": f"SELECT o_orderkey, split FROM {_grouped('orders', 'o_custkey')}",

@@ -38,9 +38,10 @@ from leakscan.plans.impact import (
     score_protocols,
 )
 from leakscan.scratch import release_scratch
-from leakscan.sources import SplitPair, expand_vectors, read_pair, split_pair, write_findings
+from leakscan.sources import Findings, SplitPair, WrittenFindings, expand_vectors, read_findings, read_pair, split_pair, write_findings
 
 __all__ = [
+    "Findings",
     "Impact",
     "ImpactInput",
     "InputError",
@@ -51,6 +52,7 @@ __all__ = [
     "SearchLimits",
     "SplitAudit",
     "SplitPair",
+    "WrittenFindings",
     "apply_scaler",
     "apply_target_encoding",
     "audit_both_splits",
@@ -75,6 +77,7 @@ __all__ = [
     "metric_gap",
     "ordered_groups",
     "plant_leaks",
+    "read_findings",
     "read_pair",
     "recall",
     "release_scratch",

@@ -16,10 +16,12 @@ def order_key(seed: int, column: Column) -> Column:
 def _field_text(field: T.StructField) -> Column:
     """One field as text that says where it ends. Numbers and dates hold no separator; texts carry their length."""
     column = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.MapType, T.VariantType)):
+    if isinstance(field.dataType, T.MapType):
         raise ValueError(f"column {field.name} has no stable text form")
     if isinstance(field.dataType, T.BinaryType):
         text = F.hex(column)
+    elif isinstance(field.dataType, T.VariantType):
+        text = F.to_json(column)
     elif isinstance(field.dataType, (T.ArrayType, T.StructType)):
         text = F.when(column.isNotNull(), F.to_json(F.struct(column), {"timeZone": "UTC"}))
     elif isinstance(field.dataType, T.TimestampType):

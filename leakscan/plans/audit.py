@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from leakscan.errors import LeakageFound
+from leakscan.functions.variants import typed_variants
 from leakscan.operators.features import resolve_features
 from leakscan.operators.match import Matches, SearchLimits, find_matches
 from leakscan.operators.match_splits import find_matches_of_splits
@@ -15,8 +16,9 @@ from leakscan.operators.overlap import OVERLAP_SCHEMA, group_overlap, group_prev
 from leakscan.operators.validate import check_schema
 from leakscan.scratch import materialize
 from leakscan.settings import EXACT_ATOL, GROUP_RULE, NEAR_ATOL, PREVIEW_SIZE
+from leakscan.sources.findings import write_findings
 from leakscan.sources.pair import SplitPair, known_side
-from leakscan.sources.tables import read_pair, write_findings
+from leakscan.sources.tables import read_pair
 
 
 @dataclass(frozen=True)
@@ -136,7 +138,7 @@ def audit_splits(
     ``split_columns`` maps a name to the column that holds ``train`` or ``test``; other values stop the audit. Rows, checks
     and results are those of ``audit_split`` on each split.
     """
-    features = tuple(features)
+    features, table = tuple(features), typed_variants(table)
     bare = table.drop(*split_columns.values())
     numeric, categorical = check_schema(SplitPair(bare, bare), features, group, near_atol, exact_atol)
     sides = [known_side(table, column, "train", "test") == "train" for column in split_columns.values()]
@@ -177,20 +179,25 @@ def audit_job(
     strict: bool = False,
     fmt: str = "csv",
     schema: T.StructType | str | None = None,
+    row_ids: str | None = None,
     **options: object,
 ) -> SplitAudit:
     """Read a pair, pick the features, audit, write the findings, and stop if ``strict``.
 
-    Id columns are not features unless they are named in ``features``.
+    Id columns are not features unless they are named in ``features``. With ``row_ids`` rows are named by file and place,
+    see ``read_pair``. With ``output`` the verdict comes from the job that writes the findings, which are there when it stops.
     """
-    pair = read_pair(spark, train_path, test_path, fmt, schema, **options)
+    pair = read_pair(spark, train_path, test_path, fmt, schema, row_ids=row_ids, **options)
+    id_columns = [*id_columns, *([row_ids] if row_ids else [])]
     chosen = resolve_features(pair, features, group, target)
     if not features:
         chosen = [name for name in chosen if name not in set(id_columns)]
     audit = audit_split(pair, chosen, group, near_atol, exact_atol, id_columns)
     if output is not None:
-        write_findings(audit, output, mode)
-    if strict:
+        written = write_findings(audit, output, mode)
+        if strict and written.summary["has_leakage"]:
+            raise LeakageFound(written.summary)
+    elif strict:
         require_clean(audit.summary)
     return audit
 

@@ -21,7 +21,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _local_root: str | None = None
 _lock = threading.Lock()
-_written: list[tuple[DataFrame, object, object]] = []
+_written: list[tuple[object, object, object]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -45,10 +45,21 @@ def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame
     with _no_shuffles_left(spark):
         df.write.parquet(path, compression=codec)
     table = spark.read.schema(df.schema).parquet(path)
+    _remember(spark, table, path)
+    return table
+
+
+def claim(spark: SparkSession, name: str) -> str:
+    """A new folder's path for files that a caller writes itself; ``release_scratch`` deletes it too."""
+    path = f"{scratch_root(spark)}/leakscan/{uuid.uuid4().hex}/{name}"
+    _remember(spark, object(), path)
+    return path
+
+
+def _remember(spark: SparkSession, kept: object, path: str) -> None:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
     with _lock:
-        _written.append((table, folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())))
-    return table
+        _written.append((kept, folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())))
 
 
 @contextlib.contextmanager
@@ -85,7 +96,7 @@ def written_meanwhile() -> Iterator[list[DataFrame]]:
         yield tables
     finally:
         with _lock:
-            tables += [entry[0] for entry in _written if id(entry[0]) not in before]
+            tables += [entry[0] for entry in _written if id(entry[0]) not in before and isinstance(entry[0], DataFrame)]
 
 
 def release_scratch() -> int:

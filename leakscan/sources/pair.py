@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from leakscan.errors import InputError
+from leakscan.functions.variants import typed_variants
 
 TRAIN = "_train"
 
@@ -17,7 +18,8 @@ class SplitPair:
     """Train and test rows.
 
     ``table`` and ``split_column`` are set when both sides come from one table; then
-    every operator scans that table once instead of once per side.
+    every operator scans that table once instead of once per side. VARIANT columns
+    become columns that mix types.
     """
 
     train: DataFrame
@@ -27,6 +29,11 @@ class SplitPair:
     train_value: str = "train"
     test_value: str = "test"
 
+    def __post_init__(self):
+        for name in ("train", "test", "table"):
+            if getattr(self, name) is not None:
+                object.__setattr__(self, name, typed_variants(getattr(self, name)))
+
     def tagged(self, columns: Callable[[T.StructType], list[Column]]) -> DataFrame:
         """Rows of both sides with the columns that ``columns(schema)`` returns, plus boolean ``_train``."""
         if self.table is not None:
