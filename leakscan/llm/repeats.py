@@ -30,7 +30,9 @@ ANCHOR = 20
 INDEX_FRAGMENTS = 20_000
 _SPAN = WINDOW - ANCHOR + 1
 _LONGEST = WINDOW + _SPAN - 1
-_SLICE = 1 << 20
+#: Windows of a text that are hashed at a time, and fragments in one record batch.
+_SLICE = 1 << 18
+_ROWS = 20_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _TEXTS, _ANCHORS = 0, 1
 
@@ -71,7 +73,8 @@ def fragments(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
         place = (low & np.uint64(0xFFFFFF)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(place, prepend=-1))
-        found.append((hashes[place[cuts]], cuts + start, np.diff(cuts, append=len(place))))
+        # the smallest of many hashes are small numbers: spread over all 64 bits, key ranges hold equal shares of them
+        found.append((hashes[place[cuts]] * _P, cuts + start, np.diff(cuts, append=len(place))))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -125,31 +128,51 @@ def _merged(kind: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return several[where].astype(np.uint64)
 
 
+_SHARED = pa.schema({"anchor": pa.int64(), "digest": pa.int64(), "doc_id": pa.int64(), "batch": pa.int64(), "place": pa.int32(), "first": pa.int64(), "windows": pa.int32(), "bytes": pa.binary()})
+
+
+def _shared_of_text(text: bytes, found: tuple, shared: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchor, digest, first window and number of windows of the fragments of a text that have a shared anchor."""
+    anchors, first, windows = found
+    at = np.searchsorted(shared, anchors)
+    at[at == len(shared)] = 0
+    hit = np.flatnonzero(shared[at] == anchors)
+    first, windows = first[hit], windows[hit].astype(np.int64)
+    stops = first + windows + (WINDOW - 1)
+    digests = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(first.tolist(), stops.tolist(), strict=True)), np.uint64, len(hit))
+    return anchors[hit], digests, first, windows
+
+
 def _shared_fragments(left, right):
-    """Fragments with a shared anchor, of texts that no smaller id has in full."""
-    columns: dict[str, list] = {n: [] for n in ("anchor", "digest", "doc_id", "batch", "place", "first", "windows", "bytes")}
+    """Fragments with a shared anchor, of texts that no smaller id has in full, in record batches of bounded size."""
+    out = []
     for batch, data in zip(left.column("batch").to_pylist(), left.column("data"), strict=True):
         table = unpack_table(data.as_py())
         (names, found), (ids, texts) = _found(table), _batch_texts(table)
         owner = dict(zip(sorted(found), answers_of(right, _TEXTS).view(np.int64).tolist(), strict=True))
         shared = _anchors(found)[0][answers_of(right, _ANCHORS) > 0]
-        sent = set()
-        for place, (name, doc_id, text) in enumerate(zip(names, ids, texts, strict=True)):
-            if name is None or owner[name] < doc_id or not len(shared):
-                continue
-            anchors, first, windows = found[name]
-            at = np.searchsorted(shared, anchors)
-            at[at == len(shared)] = 0
-            hit = np.flatnonzero(shared[at] == anchors)
-            for anchor, start, count in zip(anchors[hit].view(np.int64).tolist(), first[hit].tolist(), windows[hit].tolist(), strict=True):
-                content = text[start : start + count + WINDOW - 1]
-                digest = xxhash.xxh3_64_intdigest(content) - (1 << 63)
-                fresh = (anchor, digest) not in sent  # the bytes of a fragment go once per batch
-                sent.add((anchor, digest))
-                for column, value in zip(columns.values(), (anchor, digest, doc_id, batch, place, start, count, content if fresh else None), strict=True):
-                    column.append(value)
-    kinds = dict(zip(columns, (*[pa.int64()] * 4, *[pa.int32()] * 1, pa.int64(), pa.int32(), pa.binary()), strict=True))
-    return pa.table({n: pa.array(v, kinds[n]) for n, v in columns.items()})
+        if not len(shared):
+            continue
+        places = [p for p, name in enumerate(names) if name is not None and owner[name] >= ids[p]]
+        parts = [_shared_of_text(texts[p], found[names[p]], shared) for p in places]
+        if not parts:
+            continue
+        place = np.repeat(np.array(places, np.int32), [len(part[0]) for part in parts])
+        anchor, digest, first, windows = (np.concatenate(column) for column in zip(*parts, strict=True))
+        del parts, found
+        order = np.lexsort((digest, anchor))  # stable: of equal fragments the first one comes first
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(anchor[order]) != 0) | (np.diff(digest[order]) != 0)
+        fresh = np.zeros(len(order), bool)  # the bytes of a fragment go once per batch
+        fresh[order[new]] = True
+        doc_ids = np.array([0 if i is None else i for i in ids], np.int64)
+        for at in range(0, len(place), _ROWS):
+            part = slice(at, at + _ROWS)
+            spans = zip(place[part].tolist(), first[part].tolist(), windows[part].tolist(), fresh[part].tolist(), strict=True)
+            content = [texts[p][a : a + n + WINDOW - 1] if sent else None for p, a, n, sent in spans]
+            columns = anchor[part].view(np.int64), digest[part].view(np.int64), doc_ids[place[part]], np.full(len(content), batch), place[part], first[part], windows[part].astype(np.int32), content
+            out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SHARED, strict=True)], schema=_SHARED))
+    return pa.Table.from_batches(out, _SHARED)
 
 
 class RunIndex:

@@ -149,6 +149,16 @@ def test_repeated_passages_equal_brute_force(spark, monkeypatch, limit):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(rows)
 
 
+def test_repeated_passages_of_texts_beyond_a_slice(spark):
+    """Copies in long texts that begin at other places, so that slices cut their fragments elsewhere."""
+    rng = random.Random(12)
+    long = "".join(rng.choice("abcdefgh é\n") for _ in range(300_000))
+    assert len(long.encode()) > repeats._SLICE
+    rows = [(5, long), (3, "shifted by some bytes " + long[1000:290_000]), (9, long[150_000:150_400]), (8, "zz" + long[240_000:299_000] + "zz"), (7, long[:200] * 3)]
+    got = repeats.repeat_report(table(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(rows)
+
+
 def test_spans_and_kept_bytes(spark):
     shared = "0123456789" * 6
     rows = [(1, f"aa{shared}bb"), (2, f"cc{shared[:55]}dd"), (3, "nothing")]
