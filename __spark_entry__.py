@@ -303,6 +303,45 @@ def gate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ordered_matches_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near matches with their place in the order of test id and train id."""
+    audit = ls.audit_split(
+        ls.split_pair(_orders_by_date(spark, sf_dir)), ["o_totalprice", "o_orderstatus"], near_atol=5.0, id_columns=["o_orderkey"]
+    )
+    return _rounded(audit.positioned_matches("near"))
+
+
+BROKEN_FEATURES = ["l_quantity", "l_extendedprice", "l_tax", "l_returnflag"]
+
+
+def _broken_lines(spark: SparkSession, sf_dir: str) -> ls.SplitPair:
+    """Line items of which some lack a quantity, a flag or a tax, and some have an infinite price."""
+    lines = _lines_by_date(spark, sf_dir).withColumns({
+        "l_quantity": F.expr("if(l_orderkey % 7 = 0, NULL, l_quantity)"),
+        "l_extendedprice": F.expr("CASE l_partkey % 11 WHEN 0 THEN double('Infinity') WHEN 1 THEN double('-Infinity') ELSE l_extendedprice END"),
+        "l_tax": F.expr("if(l_suppkey % 5 = 0, double('NaN'), l_tax)"),
+        "l_returnflag": F.expr("nullif(l_returnflag, 'R')"),
+    })
+    return ls.split_pair(lines)
+
+
+def rule_violations_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every missing or infinite feature of every line item."""
+    return ls.rule_violations(_broken_lines(spark, sf_dir), BROKEN_FEATURES, ["l_orderkey", "l_linenumber"])
+
+
+def violation_samples_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each feature breaks each rule, with the ten line items of the smallest hashes."""
+    ids = ["l_orderkey", "l_linenumber"]
+    found = ls.violation_samples(ls.rule_violations(_broken_lines(spark, sf_dir), BROKEN_FEATURES, ids), ids)
+    return found.withColumn("sample", F.array_join("sample", " "))
+
+
+def input_profile_broken_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that stop an audit, on rows that do break the rules."""
+    return ls.input_profile(_broken_lines(spark, sf_dir), BROKEN_FEATURES).select("side", "n_rows", "rows_with_missing", "rows_with_nonfinite")
+
+
 def stratified_split_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _read(spark, sf_dir, "orders")
     return ls.stratified_row_split(orders, "o_orderkey", "o_orderstatus").select("o_orderkey", "split")
@@ -518,6 +557,10 @@ _QUERIES = (
     placed_matches_orders,
     committed_findings_orders,
     gate_orders,
+    ordered_matches_orders,
+    rule_violations_lineitem,
+    violation_samples_lineitem,
+    input_profile_broken_lineitem,
     stratified_split_orders,
     stratified_split_labels,
     group_split_orders,
@@ -634,6 +677,18 @@ def _order_summary(rows: str, atol: float, prefix: str = "") -> str:
           FROM ({_overlap(rows, "o_custkey", "'int:' || CAST(id AS VARCHAR)")}))"""
 
 
+def _violations_sql() -> str:
+    rules = (
+        ("l_quantity", "missing", "l_orderkey % 7 = 0"), ("l_extendedprice", "nonfinite", "l_partkey % 11 IN (0, 1)"),
+        ("l_tax", "missing", "l_suppkey % 5 = 0"), ("l_returnflag", "missing", "l_returnflag = 'R'"),
+    )
+    return " UNION ALL ".join(
+        f"""SELECT split AS side, l_orderkey, l_linenumber, '{name}' AS "column", '{rule}' AS rule
+            FROM {_dated("lineitem", "l_shipdate")} WHERE {test}"""
+        for name, rule, test in rules
+    )
+
+
 def _encoding_sql(population: str) -> str:
     seen = "" if population == "all" else "WHERE split = 'train'"
     return f"""
@@ -801,6 +856,21 @@ def core_oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'group_overlap', n_overlapping_groups, train_rows_with_overlapping_group FROM s""",
         "gate_orders": f"""
             SELECT exact_duplicate_rows, near_duplicate_rows, n_overlapping_groups, has_leakage FROM ({_order_summary(order_rows, 5.0)})""",
+        "ordered_matches_orders": f"""
+            SELECT row_number() OVER (ORDER BY test_id, train_id) - 1 AS position, test_id, train_id, round(d, 6) AS distance, 'near' AS kind
+            FROM ({_order_best(order_rows, 5.0)}) WHERE d > 1e-8""",
+        "rule_violations_lineitem": _violations_sql(),
+        "violation_samples_lineitem": f"""
+            SELECT side, "column", rule, max(n) AS n_rows, string_agg(id, ' ' ORDER BY place) AS sample
+            FROM (SELECT *, row_number() OVER (PARTITION BY side, "column", rule ORDER BY md5('42|' || id), id) AS place,
+                         count(*) OVER (PARTITION BY side, "column", rule) AS n
+                  FROM (SELECT *, l_orderkey || '|' || l_linenumber AS id FROM ({_violations_sql()})))
+            WHERE place <= 10 GROUP BY ALL""",
+        "input_profile_broken_lineitem": f"""
+            SELECT split AS side, count(*) AS n_rows,
+                   count(*) FILTER (l_orderkey % 7 = 0 OR l_suppkey % 5 = 0 OR l_returnflag = 'R') AS rows_with_missing,
+                   count(*) FILTER (l_partkey % 11 IN (0, 1)) AS rows_with_nonfinite
+            FROM {_dated("lineitem", "l_shipdate")} GROUP BY split""",
         "stratified_split_orders": f"SELECT o_orderkey, split FROM {by_row}",
         "stratified_split_labels": f"SELECT doc_id, split FROM {_stratified('labels', 'doc_id', 'toxic')}",
         "group_split_orders": f"SELECT o_orderkey, split FROM {_grouped('orders', 'o_custkey')}",

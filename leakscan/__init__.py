@@ -7,6 +7,7 @@ from leakscan.operators.match import SearchLimits, find_matches
 from leakscan.operators.metrics import binary_metrics, dataset_profile, metric_gap, threshold_predict
 from leakscan.operators.overlap import group_overlap, group_preview, ordered_groups, rows_in_overlap
 from leakscan.operators.plant import plant_leaks, recall
+from leakscan.operators.positions import with_position
 from leakscan.operators.prepare import (
     apply_scaler,
     apply_target_encoding,
@@ -15,6 +16,7 @@ from leakscan.operators.prepare import (
     fit_scaler,
     fit_target_encoding,
 )
+from leakscan.operators.quarantine import rule_violations, violation_samples
 from leakscan.operators.splits import group_split, stratified_row_split
 from leakscan.operators.validate import input_profile
 from leakscan.plans.audit import (
@@ -85,6 +87,7 @@ __all__ = [
     "require_same_kinds",
     "resolve_features",
     "rows_in_overlap",
+    "rule_violations",
     "scaler_only_delta",
     "score_model",
     "score_protocols",
@@ -92,5 +95,7 @@ __all__ = [
     "stratified_row_split",
     "table_fingerprint",
     "threshold_predict",
+    "violation_samples",
+    "with_position",
     "write_findings",
 ]

@@ -13,6 +13,7 @@ from leakscan.operators.features import resolve_features
 from leakscan.operators.match import Matches, SearchLimits, find_matches
 from leakscan.operators.match_splits import find_matches_of_splits
 from leakscan.operators.overlap import OVERLAP_SCHEMA, group_overlap, group_preview, overlap_of_split, shared_ids_of_splits
+from leakscan.operators.positions import with_position
 from leakscan.operators.validate import check_schema
 from leakscan.scratch import materialize
 from leakscan.settings import EXACT_ATOL, GROUP_RULE, NEAR_ATOL, PREVIEW_SIZE
@@ -38,6 +39,10 @@ class SplitAudit:
         """Matches of one kind by test id, then train id."""
         return self.row_matches.where(F.col("kind") == kind).orderBy("test_id", "train_id")
 
+    def positioned_matches(self, kind: str) -> DataFrame:
+        """The same with the place of each match in a column ``position``, from 0; the order is not made in one task."""
+        return with_position(self.row_matches.where(F.col("kind") == kind), ["test_id", "train_id"])
+
     def preview(self, size: int = PREVIEW_SIZE) -> DataFrame:
         return group_preview(self.group_overlap, size)
 
