@@ -8,10 +8,10 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.base import Estimator
+from pyspark.ml.base import Estimator, Model
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leakscan.operators.metrics import METRICS, binary_metrics, dataset_profile, metric_gap
 from leakscan.operators.prepare import (
@@ -25,7 +25,7 @@ from leakscan.operators.prepare import (
 )
 from leakscan.operators.splits import group_split, stratified_row_split
 from leakscan.plans.audit import audit_both_splits
-from leakscan.scratch import discard, materialize
+from leakscan.scratch import claim, discard, materialize
 from leakscan.settings import (
     DEFAULT_SEED,
     FOREST_BINS,
@@ -157,6 +157,19 @@ def _estimator(protocol: Protocol, n_train: int, settings: ModelSettings) -> Est
     )
 
 
+def _without_summary(model: Model, spark: SparkSession) -> Model:
+    """The same model, saved and loaded again.
+
+    The summary of a fitted model holds the session, which its scoring function would take to the executors. A session in
+    which a job was observed cannot be serialized (Spark 4.1), so scoring would fail there.
+    """
+    path = claim(spark, "model")
+    model.write().save(path)
+    loaded = type(model).load(path)
+    discard(path)
+    return loaded
+
+
 def score_model(prepared: DataFrame, protocol: Protocol, settings: ModelSettings = ModelSettings()) -> DataFrame:
     """Fit on train, score test: one row with the four metrics and both sizes."""
     prepared = materialize(prepared, "prepared")
@@ -166,7 +179,7 @@ def score_model(prepared: DataFrame, protocol: Protocol, settings: ModelSettings
         # Bootstrap draws depend on row order, so partitions and their order are fixed by id.
         parts = -(-n_train // TRAIN_PARTITION_ROWS)
         train = train.repartition(parts, "id").sortWithinPartitions("id")
-    model = _estimator(protocol, n_train, settings).fit(train)
+    model = _without_summary(_estimator(protocol, n_train, settings).fit(train), prepared.sparkSession)
     test = prepared.where(F.col("split") == "test")
     scored = model.transform(test).select(vector_to_array("probability")[1].alias("score"), "y")
     metrics = binary_metrics(scored)

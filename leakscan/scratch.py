@@ -50,9 +50,9 @@ def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame
 
 
 def claim(spark: SparkSession, name: str) -> str:
-    """A new folder's path for files that a caller writes itself; ``release_scratch`` deletes it too."""
+    """A new folder's path for files that a caller writes itself; ``release_scratch`` deletes it too, and so does ``discard`` of this path."""
     path = f"{scratch_root(spark)}/leakscan/{uuid.uuid4().hex}/{name}"
-    _remember(spark, object(), path)
+    _remember(spark, path, path)
     return path
 
 
@@ -76,8 +76,8 @@ def _no_shuffles_left(spark: SparkSession):
             spark.conf.set(CLEANUP, before)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete written tables that no later step reads. Other DataFrames are left alone."""
+def discard(*tables: DataFrame | str) -> None:
+    """Delete written tables and claimed folders that no later step reads. Other DataFrames are left alone."""
     gone = {id(table) for table in tables}
     with _lock:
         doomed = [entry for entry in _written if id(entry[0]) in gone]
