@@ -17,7 +17,7 @@ def cell_width(radius: float, largest: float) -> float:
     return max(4.0 * radius, largest * 2.0**-40) or 1.0
 
 
-def padding(radius: float, largest: float) -> float:
+def padding(radius: float | Column, largest: float) -> float | Column:
     """The radius plus room for rounding; twice this stays below ``cell_width``."""
     return radius + largest * 2.0**-45
 
@@ -26,7 +26,7 @@ def home_cell(value: Column, width: float) -> Column:
     return F.floor(value / F.lit(width))
 
 
-def touched_cells(value: Column, width: float, pad: float) -> Column:
+def touched_cells(value: Column, width: float, pad: float | Column) -> Column:
     return F.explode(
         F.array_distinct(F.array(home_cell(value - F.lit(pad), width), home_cell(value + F.lit(pad), width)))
     )

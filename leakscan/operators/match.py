@@ -96,6 +96,11 @@ def classify(distance: Column, exact_atol: float) -> Column:
     return F.when(distance <= F.lit(exact_atol), "exact").otherwise("near")
 
 
+def lowest_id(name: str, among: str = "true") -> Column:
+    """The lowest id of the rows ``among`` all; a missing id is below every other, as in the order of structs."""
+    return F.expr(f"CASE WHEN count_if({among} AND {name} IS NULL) = 0 THEN min(CASE WHEN {among} THEN {name} END) END")
+
+
 def _vector_columns(
     pair: SplitPair, numeric: Sequence[str], categorical: Sequence[str], schema: T.StructType
 ) -> list[Column]:
@@ -230,10 +235,11 @@ class _Grid:
             vectors = vectors.withColumn(f"_g{i}", grid.home_cell(F.col(f"_n{i}"), width))
         return vectors
 
-    def test(self, vectors: DataFrame) -> DataFrame:
+    def test(self, vectors: DataFrame, reach: str | None = None) -> DataFrame:
+        """Rows per cell within the radius, or within the distance in the column ``reach``, which is no larger."""
         for i in self.columns:
             width = grid.cell_width(self.radius, self.largest[i])
-            pad = grid.padding(self.radius, self.largest[i])
+            pad = grid.padding(self.radius if reach is None else F.col(reach), self.largest[i])
             vectors = vectors.withColumn(f"_g{i}", grid.touched_cells(F.col(f"_n{i}"), width, pad))
         return vectors
 
@@ -376,29 +382,52 @@ def _chunked(entries: DataFrame, chunks: DataFrame, on: Sequence[str], own: str,
     )
 
 
-def _nearest(
+def _pairs(
     train: DataFrame,
     test: DataFrame,
     cells: _Grid,
     categories: Sequence[str],
     vector: Sequence[str],
-    chunks: DataFrame | None = None,
+    chunks: DataFrame | None,
+    reach: str | None = None,
 ) -> DataFrame:
-    """Nearest train vector within the grid's radius for each test vector that has one."""
+    """Test rows with each train row within the grid's radius, or in the cells within their own ``reach``, and ``_distance``."""
     on = [*categories, *cells.keys()]
     numeric = [name for name in vector if name.startswith("_n")]
-    ours, theirs = cells.train(train), cells.test(test)
+    ours, theirs = cells.train(train), cells.test(test, reach)
     if chunks is not None:
         ours = _chunked(ours, chunks, on, "_tc", "_qc", vector)
         theirs = _chunked(theirs, chunks, on, "_qc", "_tc", vector)
         on = [*on, "_own_tc", "_own_qc"]
-    ours = ours.selectExpr(*on, "train_id", *[f"{name} AS {name}t" for name in numeric])
+    kept = [name for name in train.columns if name not in vector]
+    ours = ours.selectExpr(*on, *kept, *[f"{name} AS {name}t" for name in numeric])
     other = [f"{name}t" for name in numeric]
+    return theirs.join(ours, on).where(grid.within(numeric, other, cells.radius)).withColumn("_distance", grid.chebyshev(numeric, other))
+
+
+def _nearest(
+    train: DataFrame,
+    test: DataFrame,
+    cells: _Grid,
+    categories: Sequence[str],
+    vector: Sequence[str],
+    chunks: DataFrame | None = None,
+) -> DataFrame:
+    """Nearest train vector within the grid's radius for each test vector that has one.
+
+    The least distance comes first and the lowest train id at that distance second, from the cells that this distance reaches.
+    So a hash aggregate takes in the pairs as they come; the least pair of both would be a struct, for which Spark sorts all pairs.
+    """
+    known = [*vector, "test_id", "n_test"]
+    least = (
+        _pairs(train, test, cells, categories, vector, chunks)
+        .groupBy(*known)
+        .agg(F.min("_distance").alias("distance"))
+    )
     return (
-        theirs.join(ours, on)
-        .where(grid.within(numeric, other, cells.radius))
-        .withColumn("distance", grid.chebyshev(numeric, other))
-        .groupBy(*vector, "test_id", "n_test")
-        .agg(F.min(F.struct("distance", "train_id")).alias("_best"))
-        .selectExpr(*vector, "_best.train_id AS train_id", "test_id", "n_test", "_best.distance AS distance")
+        _pairs(train, least, cells, categories, vector, chunks, "distance")
+        .where(F.col("_distance") == F.col("distance"))
+        .groupBy(*known, "distance")
+        .agg(lowest_id("train_id").alias("train_id"))
+        .select(*vector, "train_id", "test_id", "n_test", "distance")
     )

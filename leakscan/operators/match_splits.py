@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leakscan.errors import InputError
-from leakscan.functions import grid, hashing
+from leakscan.functions import hashing
 from leakscan.operators.match import (
-    Matches, SearchLimits, _cell_counts, _choose_grid, _chunk_table, _chunked, _Grid, _measured, _search, _vector_columns, classify, row_id,
+    Matches, SearchLimits, _cell_counts, _choose_grid, _chunk_table, _chunked, _Grid, _measured, _pairs, _search, _vector_columns, classify, lowest_id, row_id,
 )
 from leakscan.operators.validate import EMPTY, CheckedInput
 from leakscan.scratch import discard, materialize
@@ -153,24 +153,26 @@ def _near(
 def _nearest_of_splits(
     train: DataFrame, test: DataFrame, cells: _Grid, categories: Sequence[str], vector: Sequence[str], splits: int, chunks: DataFrame | None
 ) -> DataFrame:
-    """Test vectors with their nearest train vector within the grid's radius, one struct ``_best_<i>`` per split."""
-    on = [*categories, *cells.keys()]
-    numeric = [name for name in vector if name.startswith("_n")]
-    ours, theirs = cells.train(train), cells.test(test)
-    if chunks is not None:
-        ours = _chunked(ours, chunks, on, "_tc", "_qc", vector)
-        theirs = _chunked(theirs, chunks, on, "_qc", "_tc", vector)
-        on = [*on, "_own_tc", "_own_qc"]
-    other = [f"{name}t" for name in numeric]
-    ours = ours.selectExpr(*on, "_has", *[f"train_id_{i}" for i in range(splits)], *[f"{name} AS {name}t" for name in numeric])
-    kept = [f"{name}_{i}" for i in range(splits) for name in ("test_id", "n_test")]
-    nearest = [
-        F.min(F.expr(f"CASE WHEN (_has & _wants & {1 << i}) <> 0 THEN struct(distance, train_id_{i} AS train_id) END")).alias(f"_best_{i}") for i in range(splits)
-    ]
+    """Test vectors with their nearest train vector within the grid's radius, one struct ``_best_<i>`` per split.
+
+    As in ``_nearest``, least distances come first and lowest train ids at them second, so that no pairs are sorted.
+    """
+    numbers = range(splits)
+    known = [*vector, "_wants", *[f"{name}_{i}" for i in numbers for name in ("test_id", "n_test")]]
+    least = (
+        _pairs(train, test, cells, categories, vector, chunks)
+        .where("(_has & _wants) <> 0")
+        .groupBy(*known)
+        .agg(*[F.min(F.expr(f"CASE WHEN (_has & _wants & {1 << i}) <> 0 THEN _distance END")).alias(f"_d{i}") for i in numbers])
+        .withColumn("_reach", F.greatest(*[F.col(f"_d{i}") for i in numbers]) if splits > 1 else F.col("_d0"))
+    )
+    lowest = {i: f"(_has & _wants & {1 << i}) <> 0 AND _distance = _d{i}" for i in numbers}
     return (
-        theirs.join(ours, on)
-        .where(F.expr("(_has & _wants) <> 0") & grid.within(numeric, other, cells.radius))
-        .withColumn("distance", grid.chebyshev(numeric, other))
-        .groupBy(*vector, *kept)
-        .agg(*nearest)
+        _pairs(train, least, cells, categories, vector, chunks, "_reach")
+        .where(" OR ".join(f"({test})" for test in lowest.values()))
+        .groupBy(*known, *[f"_d{i}" for i in numbers])
+        .agg(*[lowest_id(f"train_id_{i}", f"({test})").alias(f"_t{i}") for i, test in lowest.items()])
+        .withColumns({
+            f"_best_{i}": F.when(F.col(f"_d{i}").isNotNull(), F.struct(F.col(f"_d{i}").alias("distance"), F.col(f"_t{i}").alias("train_id"))) for i in numbers
+        })
     )
