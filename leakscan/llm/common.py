@@ -50,6 +50,26 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str,
     return lookup_join(rows, table, keys, how, weight, size[1], 0)
 
 
+def among(rows: DataFrame, column: str, ids: DataFrame, wanted: bool = True) -> DataFrame:
+    """``rows`` whose number in ``column`` is, or if not ``wanted`` is not, in the only column of ``ids``. Rows are not shuffled.
+
+    A bit per number travels instead: 64 words for each block of 4096 numbers. The blocks are counted: up to BROADCAST_ROWS
+    of them, which stand for 400 million dense numbers, are broadcast; beyond that both sides are shuffled.
+    """
+    name = ids.columns[0]
+    words = ids.groupBy(F.expr(f"shiftright(`{name}`, 12)").alias("_block"), F.expr(f"shiftright(`{name}`, 6) & 63").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, CAST(`{name}` & 63 AS int))")).alias("bits"))
+    blocks = words.groupBy("_block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_bits"))
+    blocks = materialize(blocks, "marks")
+    if blocks.count() > BROADCAST_ROWS:
+        same = rows.withColumnRenamed(column, "_number").join(ids.select(F.col(name).alias("_number")), "_number", "left_semi" if wanted else "left_anti")
+        return same.withColumnRenamed("_number", column).select(*rows.columns)
+    found = rows.withColumn("_block", F.expr(f"shiftright(`{column}`, 12)")).join(F.broadcast(blocks), "_block", "left")
+    bits = F.coalesce(F.try_element_at("_bits", F.expr(f"shiftright(`{column}`, 6) & 63")), F.lit(0).cast("long"))
+    marked = F.call_function("getbit", bits, F.expr(f"CAST(`{column}` & 63 AS int)")) == 1
+    return found.where(marked if wanted else ~F.coalesce(marked, F.lit(False))).select(*rows.columns)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
     """The groups of rows with equal ``keys`` (numbers) in batches that are sorted by them."""
     rest = None
@@ -85,4 +105,4 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["attach", "grouped", "let", "materialize", "null_safe", "packed_row", "partitions", "per_process", "words", "SEPARATORS", "SEPARATOR_RUN"]
+__all__ = ["among", "attach", "grouped", "let", "materialize", "null_safe", "packed_row", "partitions", "per_process", "words", "SEPARATORS", "SEPARATOR_RUN"]

@@ -19,9 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from leakscan.llm.common import attach, grouped, materialize, packed_row
+from leakscan.llm.common import among, attach, grouped, materialize
 from leakscan.llm.components import components
 from leakscan.llm.shingles import COORDINATES, WordHashes, set_name, shared, shingle_set, signature
 
@@ -48,9 +48,24 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _text_apart(docs: DataFrame) -> bool:
+    """Whether the features hold the text as it is, so that rows need no second copy of it."""
+    return docs.schema["text"].dataType == T.StringType()
+
+
+def _whole(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` from its features."""
+    apart = _text_apart(docs)
+    return [F.col("text") if apart and name == "text" else F.col("row")[name].alias(name) for name in docs.columns]
+
+
 def _with_features(docs: DataFrame, keep_row: bool) -> DataFrame:
-    frame = packed_row(docs if keep_row else docs.select("doc_id", "text"), row_id=F.monotonically_increasing_id(), doc_id=docs["doc_id"].cast("long"), text=docs["text"].cast("string"))
-    frame = frame if keep_row else frame.drop("row")
+    # the text is written once, not again in its row
+    packed = docs.drop("text") if keep_row and _text_apart(docs) else docs
+    frame = docs.select(
+        *([F.struct(*[docs[f"`{name}`"] for name in packed.columns]).alias("row")] if keep_row else []),
+        F.monotonically_increasing_id().alias("row_id"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"),
+    )
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
     return materialize(frame.mapInArrow(_features, f"{kinds}, {_FEATURES}"), "features", "zstd")
 
@@ -230,11 +245,11 @@ def _rest(open_lists: DataFrame, signatures: DataFrame, posted: DataFrame, texts
 def _links(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The classes, and node and root for each class that is linked to another and not a root."""
     classes = _classes(features)
-    signatures = materialize(classes.join(features.select("row_id", "n_shingles", "tokens"), F.col("rep") == F.col("row_id")).select("rep", "n_shingles", "tokens"), "signatures")
+    signatures = among(features.select(F.col("row_id").alias("rep"), "n_shingles", "tokens"), "rep", classes.select("rep"))
+    signatures = materialize(signatures, "signatures")
     posted = _posted(signatures)
-    # the one shuffle of all texts: only those of posted sets are needed from here on
-    texts = features.select(F.col("row_id").alias("rep"), "text").join(posted.select("rep").hint("merge"), "rep", "left_semi")
-    texts = materialize(texts, "texts", "zstd")
+    # only the texts of posted sets are needed from here on
+    texts = materialize(among(features.select(F.col("row_id").alias("rep"), "text"), "rep", posted.select("rep")), "texts", "zstd")
     postings = posted.select("rep", F.explode("posted").alias("token"))
     alone = classes.sparkSession.createDataFrame([], "node long, root long")
     pairs = materialize(_star(_labelled(postings, alone), signatures), "pairs")
@@ -244,28 +259,37 @@ def _links(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, components(links.unionByName(rest))
 
 
-def near_duplicates(docs: DataFrame, keep_row: bool = False) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, and ``first`` for one row per component.
-
-    Sets are compared by 64-bit shingle hashes. Null texts and texts without words have an empty set and are linked with nothing.
-    Rows without id take part; ``component_id`` is null only where no row of a component has an id. ``first`` marks
-    one row of each component, the one with the smallest id, also where ids or whole rows repeat.
-    """
-    features = _with_features(docs, keep_row)
+def _judged(features: DataFrame, *more: str) -> DataFrame:
+    """The columns ``more`` of each row of ``features``, with ``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``first``."""
     classes, roots = _links(features)
     labelled = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     firsts = labelled.groupBy("root").agg(F.min("first").alias("first"))
     named = materialize(labelled.drop("first").join(firsts, "root").select("name", "first", "copies"), "named")
-    rows = attach(features.select(*(["row"] if keep_row else []), "row_id", "doc_id", "n_shingles", "name"), named, ["name"], "copies")
+    needed = dict.fromkeys([*more, "row_id", "doc_id", "n_shingles", "name"])
+    rows = attach(features.select(*needed), named, ["name"], "copies")
     alone = F.col("name").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
     return rows.withColumn("component_id", component).select(
-        *(["row"] if keep_row else []), "doc_id", "n_shingles", "component_id",
+        *more, "doc_id", "n_shingles", "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
         (alone | (F.col("row_id") == F.col("first.row_id"))).alias("first"),
     )
 
 
+def near_duplicates(docs: DataFrame, keep_row: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, and ``first`` for one row per component.
+
+    Sets are compared by 64-bit shingle hashes. Null texts and texts without words have an empty set and are linked with nothing.
+    Rows without id take part; ``component_id`` is null only where no row of a component has an id. ``first`` marks
+    one row of each component, the one with the smallest id, also where ids or whole rows repeat.
+    """
+    features = _with_features(docs, keep_row)
+    if not keep_row:
+        return _judged(features)
+    judged = _judged(features, "row", "text")
+    return judged.select(F.struct(*_whole(docs)).alias("row"), *[c for c in judged.columns if c not in ("row", "text")])
+
+
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``."""
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
@@ -273,7 +297,10 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those that have a near duplicate with a smaller id; documents without words stay."""
-    return near_duplicates(docs, keep_row=True).where("first").select("row.*")
+    features = _with_features(docs, keep_row=True)
+    # whole rows are not shuffled: each learns from one bit whether it goes
+    gone = _judged(features, "row_id").where("NOT first").select("row_id")
+    return among(features.select("row", "text", "row_id"), "row_id", gone, wanted=False).select(*_whole(docs))
 
 
 __all__ = ["drop_near_duplicates", "near_duplicate_report", "near_duplicates"]
