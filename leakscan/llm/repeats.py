@@ -260,11 +260,14 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _masks(shared: DataFrame) -> DataFrame:
     """``anchor``, ``digest``, ``owner``, ``mask``: for each different fragment the windows that a smaller id than its owner has."""
     owned = materialize(shared.groupBy("anchor", "digest").agg(F.min("doc_id").alias("owner")), "owned", "zstd")
-    several = materialize(owned.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several", "zstd")
-    sent = shared.where("bytes is not null").select("anchor", "digest", "bytes").join(several, "anchor")
-    joined = sent.groupBy("anchor", "digest", "n").agg(F.any_value("bytes").alias("bytes")).join(owned, ["anchor", "digest"])
+    # which fragments are needed is settled first, without their bytes; so the bytes are shuffled once, alone
+    counts = owned.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    several = materialize(owned.join(counts, "anchor"), "several", "zstd")
+    sent = shared.where("bytes is not null").select("anchor", "digest", "bytes").join(several, ["anchor", "digest"])
+    joined = sent.groupBy("anchor", "digest").agg(F.any_value("bytes").alias("bytes"), F.min("owner").alias("owner"), F.min("n").alias("n"))
     joined = materialize(joined, "different", "zstd")
-    total = several.agg(F.sum("n")).first()[0] or 0
+    total = several.count()
+    discard(several)
     shards = max(1, -(-total // max(1, INDEX_FRAGMENTS // 4)))
     dealt = joined.where(F.col("n") <= INDEX_FRAGMENTS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     dealt = dealt.select("shard", "anchor", "digest", "owner", "bytes").repartition("shard").sortWithinPartitions("shard")
@@ -278,6 +281,7 @@ def _masks(shared: DataFrame) -> DataFrame:
         F.sum(F.expr("shiftleft(1L, bit)")).alias("mask")
     )
     masks = materialize(indexed.unionByName(marked).where("mask <> 0"), "masks")
+    discard(joined)
     return owned.select("anchor", "digest", "owner").join(masks, ["anchor", "digest"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
 
 
