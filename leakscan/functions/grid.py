@@ -36,9 +36,10 @@ def touched_count(value: Column, width: float, pad: float) -> Column:
     return home_cell(value + F.lit(pad), width) - home_cell(value - F.lit(pad), width) + 1
 
 
-def within(left: Sequence[str], right: Sequence[str], radius: float) -> Column:
-    """Every difference is inside the radius; the first one outside ends the comparison."""
-    return F.expr(" AND ".join(f"abs({a} - {b}) <= {radius!r}D" for a, b in zip(left, right, strict=True)))
+def within(left: Sequence[str], right: Sequence[str], radius: float | str) -> Column:
+    """Every difference is inside the radius, a number or the name of a column; the first one outside ends the comparison."""
+    bound = radius if isinstance(radius, str) else f"{radius!r}D"
+    return F.expr(" AND ".join(f"abs({a} - {b}) <= {bound}" for a, b in zip(left, right, strict=True)))
 
 
 def chebyshev(left: Sequence[str], right: Sequence[str]) -> Column:

@@ -30,6 +30,7 @@ from leakscan.settings import (
     CHUNK_ROWS,
     MAX_GRID_COLUMNS,
     MAX_LEVELS,
+    MAX_PAIR_TASKS,
     MIN_PAIR_BUDGET,
     PAIRS_PER_VECTOR,
     RADIUS_STEP,
@@ -345,12 +346,12 @@ def _search(
 
     settled = []
     for step, (cells, work, hot) in enumerate(plan):
-        if step > 0:
+        if step > 0 and hot:  # fewer test vectors than planned: cells that were not hot have not become so
             work, hot = _pair_work(_cell_counts(train, test, cells, categories), limits.chunk_rows)
         log.info("radius %g, grid on %s: %.0f candidate pairs, %d hot cells", cells.radius, cells.keys(), work, hot)
         chunks = _chunk_table(_cell_counts(train, test, cells, categories), limits.chunk_rows) if hot else None
         hinted = F.broadcast(chunks) if hot and hot <= limits.broadcast_rows else chunks
-        level = materialize(_nearest(train, test, cells, categories, vector, hinted), "near")
+        level = materialize(_nearest(train, test, cells, categories, vector, hinted, _parts(vectors, work, limits)), "near")
         settled.append(level)
         rest = test
         if step + 1 < len(plan):
@@ -361,6 +362,12 @@ def _search(
     return settled
 
 
+def _parts(vectors: DataFrame, work: float, limits: SearchLimits) -> int:
+    """Tasks for so many pairs: about four for each full meeting of two chunks, as hashing deals these out unevenly."""
+    usual = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, min(MAX_PAIR_TASKS, math.ceil(4 * work / limits.chunk_rows**2)))
+
+
 def _chunk_table(counts: DataFrame, chunk_rows: int) -> DataFrame:
     pairs = F.col("_t").cast("double") * F.col("_q")
     cut = counts.where(pairs > F.lit(float(chunk_rows) ** 2)).select(
@@ -390,8 +397,13 @@ def _pairs(
     vector: Sequence[str],
     chunks: DataFrame | None,
     reach: str | None = None,
+    parts: int = 0,
 ) -> DataFrame:
-    """Test rows with each train row within the grid's radius, or in the cells within their own ``reach``, and ``_distance``."""
+    """Test rows with each train row within the grid's radius, or within their own ``reach``, and ``_distance``.
+
+    ``parts`` tasks share the meetings of chunks, whose rows are few beside their pairs: by their size adaptive
+    execution would put them all into one task.
+    """
     on = [*categories, *cells.keys()]
     numeric = [name for name in vector if name.startswith("_n")]
     ours, theirs = cells.train(train), cells.test(test, reach)
@@ -402,7 +414,9 @@ def _pairs(
     kept = [name for name in train.columns if name not in vector]
     ours = ours.selectExpr(*on, *kept, *[f"{name} AS {name}t" for name in numeric])
     other = [f"{name}t" for name in numeric]
-    return theirs.join(ours, on).where(grid.within(numeric, other, cells.radius)).withColumn("_distance", grid.chebyshev(numeric, other))
+    if chunks is not None and parts:
+        ours, theirs = ours.repartition(parts, *on), theirs.repartition(parts, *on)
+    return theirs.join(ours, on).where(grid.within(numeric, other, reach or cells.radius)).withColumn("_distance", grid.chebyshev(numeric, other))
 
 
 def _nearest(
@@ -412,6 +426,7 @@ def _nearest(
     categories: Sequence[str],
     vector: Sequence[str],
     chunks: DataFrame | None = None,
+    parts: int = 0,
 ) -> DataFrame:
     """Nearest train vector within the grid's radius for each test vector that has one.
 
@@ -420,13 +435,12 @@ def _nearest(
     """
     known = [*vector, "test_id", "n_test"]
     least = (
-        _pairs(train, test, cells, categories, vector, chunks)
+        _pairs(train, test, cells, categories, vector, chunks, parts=parts)
         .groupBy(*known)
         .agg(F.min("_distance").alias("distance"))
     )
     return (
-        _pairs(train, least, cells, categories, vector, chunks, "distance")
-        .where(F.col("_distance") == F.col("distance"))
+        _pairs(train, least, cells, categories, vector, chunks, "distance", parts)  # nothing is nearer than the least distance
         .groupBy(*known, "distance")
         .agg(lowest_id("train_id").alias("train_id"))
         .select(*vector, "train_id", "test_id", "n_test", "distance")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leakscan.errors import InputError
 from leakscan.functions import hashing
 from leakscan.operators.match import (
-    Matches, SearchLimits, _cell_counts, _choose_grid, _chunk_table, _chunked, _Grid, _measured, _pairs, _search, _vector_columns, classify, lowest_id, row_id,
+    Matches, SearchLimits, _cell_counts, _choose_grid, _chunk_table, _chunked, _Grid, _measured, _pairs, _parts, _search, _vector_columns, classify, lowest_id, row_id,
 )
 from leakscan.operators.validate import EMPTY, CheckedInput
 from leakscan.scratch import discard, materialize
@@ -139,7 +139,8 @@ def _near(
             return [_search(_of_split(vectors, vector, i), vector, largest, near_atol, limits) for i in numbers]
     chunks = _chunk_table(_cell_counts(train, test, cells, categories), limits.chunk_rows) if hot else None
     hinted = F.broadcast(chunks) if hot and hot <= limits.broadcast_rows else chunks
-    level = materialize(_nearest_of_splits(train, test, cells, categories, vector, splits, hinted), "near")
+    parts = _parts(vectors, work, limits) if hot else 0
+    level = materialize(_nearest_of_splits(train, test, cells, categories, vector, splits, hinted, parts), "near")
     if chunks is not None:
         discard(chunks)
     return [[
@@ -151,7 +152,7 @@ def _near(
 
 
 def _nearest_of_splits(
-    train: DataFrame, test: DataFrame, cells: _Grid, categories: Sequence[str], vector: Sequence[str], splits: int, chunks: DataFrame | None
+    train: DataFrame, test: DataFrame, cells: _Grid, categories: Sequence[str], vector: Sequence[str], splits: int, chunks: DataFrame | None, parts: int = 0
 ) -> DataFrame:
     """Test vectors with their nearest train vector within the grid's radius, one struct ``_best_<i>`` per split.
 
@@ -160,7 +161,7 @@ def _nearest_of_splits(
     numbers = range(splits)
     known = [*vector, "_wants", *[f"{name}_{i}" for i in numbers for name in ("test_id", "n_test")]]
     least = (
-        _pairs(train, test, cells, categories, vector, chunks)
+        _pairs(train, test, cells, categories, vector, chunks, parts=parts)
         .where("(_has & _wants) <> 0")
         .groupBy(*known)
         .agg(*[F.min(F.expr(f"CASE WHEN (_has & _wants & {1 << i}) <> 0 THEN _distance END")).alias(f"_d{i}") for i in numbers])
@@ -168,7 +169,7 @@ def _nearest_of_splits(
     )
     lowest = {i: f"(_has & _wants & {1 << i}) <> 0 AND _distance = _d{i}" for i in numbers}
     return (
-        _pairs(train, least, cells, categories, vector, chunks, "_reach")
+        _pairs(train, least, cells, categories, vector, chunks, "_reach", parts)
         .where(" OR ".join(f"({test})" for test in lowest.values()))
         .groupBy(*known, *[f"_d{i}" for i in numbers])
         .agg(*[lowest_id(f"train_id_{i}", f"({test})").alias(f"_t{i}") for i, test in lowest.items()])

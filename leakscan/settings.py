@@ -43,6 +43,8 @@ MAX_LEVELS = 8
 MAX_GRID_COLUMNS = 12
 # A grid cell with more candidate pairs than CHUNK_ROWS squared is cut into chunks of this many vectors.
 CHUNK_ROWS = 2048
+# Tasks that share the pairs of cut cells, at most; beyond it a task holds more of them.
+MAX_PAIR_TASKS = 10_000
 
 # Rows that one ordered window may hold when a hash-ranked split looks for its cut-off.
 RANK_BUCKET_ROWS = 100_000
