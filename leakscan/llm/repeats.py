@@ -297,16 +297,25 @@ def _covered(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
-def _bit_runs(mask: int) -> list[tuple[int, int]]:
-    runs, at = [], 0
-    while mask:
-        skip = (mask & -mask).bit_length() - 1
-        mask >>= skip
-        count = (~mask & (mask + 1)).bit_length() - 1
-        runs.append((at + skip, count))
-        mask >>= count
-        at += skip + count
-    return runs
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lost windows of each document as runs in one message, or in several if its rows are in several batches; ``range`` is its place."""
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        batch, place, first, lost = (rows.column(c).to_numpy() for c in ("batch", "place", "first", "lost"))
+        starts = np.concatenate([[0], np.flatnonzero((np.diff(batch) != 0) | (np.diff(place) != 0)) + 1])
+        doc = np.zeros(len(batch), np.int64)
+        doc[starts[1:]] = 1
+        doc = np.cumsum(doc)
+        row, bit = np.nonzero(np.unpackbits(np.ascontiguousarray(lost, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        window, owner = first[row] + bit, doc[row]
+        heads = np.flatnonzero((np.diff(window, prepend=-2) != 1) | (np.diff(owner, prepend=-1) != 0))
+        runs = np.stack([window[heads], np.diff(heads, append=len(window))], axis=1).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner[heads], minlength=len(starts)))]).astype(np.int32) * np.int32(16)
+        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(runs.tobytes())])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(batch[starts], pa.int64()), pa.nulls(len(starts), pa.int32()), pa.array(place[starts], pa.int32()), packed], ["batch", "kind", "range", "answers"]
+        )
 
 
 def _result(keep_text: bool):
@@ -361,19 +370,13 @@ def repeated_spans(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     marked = shared.select("anchor", "digest", "doc_id", "batch", "place", "first", "windows").join(masks, ["anchor", "digest"])
     full = F.expr("shiftleft(1L, windows) - 1")
     lost = marked.withColumn("lost", F.when(F.col("owner") < F.col("doc_id"), full).otherwise(F.col("mask"))).where("lost <> 0")
-    per_doc = materialize(lost.groupBy("batch", "place").applyInArrow(_runs, "batch long, kind int, range int, answers binary"), "lost", "zstd")
+    by_doc = lost.select("batch", "place", "first", "lost").repartition("batch", "place").sortWithinPartitions("batch", "place", "first")
+    per_doc = materialize(by_doc.mapInArrow(_runs, "batch long, kind int, range int, answers binary"), "lost", "zstd")
     discard(shared)
     told = answers.where(F.col("kind") == _TEXTS).unionByName(per_doc)
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, stop: long>>"
     return batches.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_result(keep_text), result)
 
 
-def _runs(key, table):
-    """The lost windows of one document as runs in one message; ``range`` is its place in the batch."""
-    runs = [(first + at, count) for first, mask in zip(table.column("first").to_pylist(), table.column("lost").to_pylist(), strict=True) for at, count in _bit_runs(mask)]
-    packed = np.array(sorted(runs), np.int64).tobytes()
-    return pa.table({"batch": pa.array([key[0].as_py()], pa.int64()), "kind": pa.array([None], pa.int32()), "range": pa.array([key[1].as_py()], pa.int32()), "answers": pa.array([packed], pa.binary())})
-
-
 def repeat_report(docs: DataFrame) -> DataFrame:
     return repeated_spans(docs, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

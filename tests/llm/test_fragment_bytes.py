@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from leakscan import scratch
 from leakscan.llm import repeats
 
@@ -33,3 +36,12 @@ def test_bytes_of_fragments_are_shuffled_once(spark, monkeypatch):
     kept = {table.inputFiles()[0].split("/")[-2] for table in left if table.inputFiles()}
     assert "owned" in kept and not kept & {"shared", "several", "different"}
     assert rows[0].n_removed == 0 and all(rows[i].n_removed > 300 for i in range(1, 6))
+
+
+def test_lost_windows_become_runs_for_many_documents_at_once():
+    rows = [(1, 0, 10, 0b0110), (1, 0, 14, 0b1), (1, 0, 15, 0b11), (1, 2, 0, 0b1), (4, 2, 1, (1 << 31) - 1), (4, 3, 5, 0)]
+    batch = pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("batch", "place", "first", "lost"), zip(*rows, strict=True), strict=True)})
+    (found,) = repeats._runs(iter([batch]))
+    runs = [np.frombuffer(x, np.int64).reshape(-1, 2).tolist() for x in found.column("answers").to_pylist()]
+    assert list(zip(found.column("batch").to_pylist(), found.column("range").to_pylist(), runs, strict=True)) == [
+        (1, 0, [[11, 2], [14, 3]]), (1, 2, [[0, 1]]), (4, 2, [[1, 31]]), (4, 3, [])]
