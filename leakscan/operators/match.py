@@ -9,7 +9,9 @@ How the search stays bounded. The driver reads the number of candidate pairs, wh
 sum over cell counts. If it is too high at the asked tolerance, narrower radii go first:
 a test vector with a neighbour inside a narrow radius is settled there, exactly, and
 leaves the wider search. Cells that still hold too many pairs are cut into chunks of
-train and test vectors that meet chunk by chunk in separate tasks. No candidate is dropped.
+train and test vectors that meet chunk by chunk in separate tasks. If chunks would repeat
+the vectors too often, such cells are dealt into blocks instead, and no vector is repeated
+(see ``blocks``). No candidate is dropped.
 """
 
 from __future__ import annotations
@@ -22,15 +24,20 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from leakscan.functions import grid, hashing, keys
+from leakscan.operators import blocks
 from leakscan.operators.lookup import lookup_join
 from leakscan.operators.validate import CheckedInput, check_profile, input_profile
 from leakscan.scratch import discard, materialize
 from leakscan.settings import (
+    BLOCK_MEETINGS,
+    BLOCK_ROWS,
     BROADCAST_ROWS,
     CHUNK_ROWS,
+    COPIES_PER_VECTOR,
     MAX_GRID_COLUMNS,
     MAX_LEVELS,
     MAX_PAIR_TASKS,
+    MIN_COPIES,
     MIN_PAIR_BUDGET,
     PAIRS_PER_VECTOR,
     RADIUS_STEP,
@@ -39,13 +46,14 @@ from leakscan.settings import (
 from leakscan.sources.pair import TRAIN, SplitPair
 
 SHUFFLE_COST = 20.0
+BLOCK_COPY_COST = 50_000.0
 
 log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class SearchLimits:
-    """When the search narrows its radius, cuts cells into chunks, or salts a join."""
+    """When the search narrows its radius, cuts cells into chunks or blocks, or salts a join."""
 
     pairs_per_vector: int = PAIRS_PER_VECTOR
     min_pair_budget: int = MIN_PAIR_BUDGET
@@ -53,6 +61,10 @@ class SearchLimits:
     max_levels: int = MAX_LEVELS
     broadcast_rows: int = BROADCAST_ROWS
     salt_min_rows: int = SALT_MIN_ROWS
+    copies_per_vector: float = COPIES_PER_VECTOR
+    min_copies: int = MIN_COPIES
+    block_rows: int = BLOCK_ROWS
+    block_meetings: int = BLOCK_MEETINGS
 
 
 @dataclass(frozen=True)
@@ -97,6 +109,11 @@ def classify(distance: Column, exact_atol: float) -> Column:
     return F.when(distance <= F.lit(exact_atol), "exact").otherwise("near")
 
 
+def numbered(vectors: DataFrame) -> DataFrame:
+    """With a number ``_row`` for each row, which stays the same only once the table is written."""
+    return vectors.withColumn("_row", F.monotonically_increasing_id())
+
+
 def lowest_id(name: str, among: str = "true") -> Column:
     """The lowest id of the rows ``among`` all; a missing id is below every other, as in the order of structs."""
     return F.expr(f"CASE WHEN count_if({among} AND {name} IS NULL) = 0 THEN min(CASE WHEN {among} THEN {name} END) END")
@@ -202,9 +219,9 @@ def find_matches(
             "copies",
         )
     else:
-        vectors = materialize(collapsed, "vectors")
+        vectors = materialize(numbered(collapsed), "vectors")
         checked = check_profile(_vector_profile(vectors, vector), numeric, categorical)
-        found = vectors.where(on_both_sides).drop("n_train").withColumn("distance", F.lit(0.0))
+        found = vectors.where(on_both_sides).drop("n_train", "_row").withColumn("distance", F.lit(0.0))
         if near_atol > 0:
             for level in _search(vectors, vector, [checked.largest[name] for name in numeric], near_atol, limits):
                 found = found.unionByName(level)
@@ -216,21 +233,30 @@ def find_matches(
 class _Grid:
     """A radius and the numeric columns whose cells are join keys at that radius.
 
-    ``spare`` lists further columns that could join the grid, the most selective first.
+    ``spare`` lists further columns that could join the grid, the most selective first. ``gains`` has for each column that could be in it
+    how many copies of a test vector and what part of its candidates it makes. Without columns, one cell holds everything.
     """
 
     radius: float
     columns: tuple[int, ...]
     largest: tuple[float, ...]
     spare: tuple[int, ...] = ()
+    gains: tuple[tuple[int, float, float], ...] = ()
 
     def wider(self) -> _Grid:
         return replace(self, columns=(*self.columns, self.spare[0]), spare=self.spare[1:])
 
+    def for_blocks(self, n_train: int) -> _Grid:
+        """The grid for blocks, whose pairs are cheap beside the copies of a vector."""
+        used = _cheapest(self.gains, n_train, BLOCK_COPY_COST, 0) if self.gains else self.columns
+        return replace(self, columns=used, spare=())
+
     def keys(self) -> list[str]:
-        return [f"_g{i}" for i in self.columns]
+        return [f"_g{i}" for i in self.columns] or ["_g"]
 
     def train(self, vectors: DataFrame) -> DataFrame:
+        if not self.columns:
+            return vectors.withColumn("_g", F.lit(0))
         for i in self.columns:
             width = grid.cell_width(self.radius, self.largest[i])
             vectors = vectors.withColumn(f"_g{i}", grid.home_cell(F.col(f"_n{i}"), width))
@@ -238,6 +264,8 @@ class _Grid:
 
     def test(self, vectors: DataFrame, reach: str | None = None) -> DataFrame:
         """Rows per cell within the radius, or within the distance in the column ``reach``, which is no larger."""
+        if not self.columns:
+            return vectors.withColumn("_g", F.lit(0))
         for i in self.columns:
             width = grid.cell_width(self.radius, self.largest[i])
             pad = grid.padding(self.radius if reach is None else F.col(reach), self.largest[i])
@@ -245,6 +273,17 @@ class _Grid:
         return vectors
 
 
+def _cheapest(gains: Sequence[tuple[int, float, float]], n_train: float, copy_cost: float, least: int) -> tuple[int, ...]:
+    """The first columns of ``gains``, at least so many, that cost least: a copy as much as comparing ``copy_cost`` pairs."""
+    best, best_cost, copies, crowd = (), math.inf if least else copy_cost + n_train, 1.0, float(n_train)
+    for used, (_, more, gain) in enumerate(gains, start=1):
+        copies *= more
+        crowd /= gain
+        if used <= least or copies * copy_cost + crowd < best_cost:
+            best, best_cost = tuple(i for i, *_ in gains[:used]), copies * copy_cost + crowd
+    return best
+
+
 def _choose_grid(train: DataFrame, test: DataFrame, largest: Sequence[float], radius: float):
     """Vector counts per side and the grid columns with the lowest estimated cost.
 
@@ -272,14 +311,10 @@ def _choose_grid(train: DataFrame, test: DataFrame, largest: Sequence[float], ra
     copies_of = {i: stats[f"_a{i}"] or 1.0 for i in looked_at}
     gain = {i: max(stats[f"_d{i}"], 1) / copies_of[i] for i in looked_at}
     order = sorted(looked_at, key=lambda i: (-gain[i], i))
-    best, best_cost, copies, crowd = (order[0],), math.inf, 1.0, float(stats["n_train"])
-    for used, i in enumerate(order[:MAX_GRID_COLUMNS], start=1):
-        copies *= copies_of[i]
-        crowd /= gain[i]
-        if copies * SHUFFLE_COST + crowd < best_cost:
-            best, best_cost = tuple(order[:used]), copies * SHUFFLE_COST + crowd
+    gains = tuple((i, copies_of[i], gain[i]) for i in order[:MAX_GRID_COLUMNS])
+    best = _cheapest(gains, stats["n_train"], SHUFFLE_COST, 1)
     spare = tuple(i for i in order[len(best) : MAX_GRID_COLUMNS] if gain[i] > 1.0)
-    return stats["n_train"], stats["n_test"], _Grid(radius, best, tuple(largest), spare)
+    return stats["n_train"], stats["n_test"], _Grid(radius, best, tuple(largest), spare, gains)
 
 
 def _cell_counts(train: DataFrame, test: DataFrame, cells: _Grid, categories: Sequence[str]) -> DataFrame:
@@ -326,8 +361,8 @@ def _search(
 ) -> list[DataFrame]:
     """Settled test vectors, one written table per radius."""
     categories = [name for name in vector if not name.startswith("_n")]
-    train = vectors.where(F.col("n_train") > 0).select(*vector, "train_id")
-    test = vectors.where(F.col("n_train") == 0).select(*vector, "test_id", "n_test")
+    train = vectors.where(F.col("n_train") > 0).select(*vector, "train_id", F.col("_row").alias("_train"))
+    test = vectors.where(F.col("n_train") == 0).select(*vector, "test_id", "n_test", F.col("_row").alias("_test"))
 
     n_train, n_test, cells = _choose_grid(train, test, largest, near_atol)
     if n_test == 0:
@@ -351,7 +386,12 @@ def _search(
         log.info("radius %g, grid on %s: %.0f candidate pairs, %d hot cells", cells.radius, cells.keys(), work, hot)
         chunks = _chunk_table(_cell_counts(train, test, cells, categories), limits.chunk_rows) if hot else None
         hinted = F.broadcast(chunks) if hot and hot <= limits.broadcast_rows else chunks
-        level = materialize(_nearest(train, test, cells, categories, vector, hinted, _parts(vectors, work, limits)), "near")
+        if hot and _copies(chunks, limits) > max(limits.min_copies, limits.copies_per_vector * (n_train + n_test)):
+            discard(chunks)
+            chunks = None
+            level = _nearest_by_blocks(train, test, cells.for_blocks(n_train), categories, vector, limits)
+        else:
+            level = materialize(_nearest(train, test, cells, categories, vector, hinted, _parts(vectors, work, limits)), "near")
         settled.append(level)
         rest = test
         if step + 1 < len(plan):
@@ -374,10 +414,16 @@ def _chunk_table(counts: DataFrame, chunk_rows: int) -> DataFrame:
         *[name for name in counts.columns if name not in ("_t", "_q")],
         F.ceil(F.col("_t") / F.lit(chunk_rows)).cast("int").alias("_tc"),
         F.ceil(F.col("_q") / F.lit(chunk_rows)).cast("int").alias("_qc"),
+        F.monotonically_increasing_id().alias("_cell"),
     )
     return materialize(cut, "hot_cells")
 
 
+def _copies(chunks: DataFrame, limits: SearchLimits) -> float:
+    """How many rows all vectors of hot cells become when each is repeated for every chunk of the other side, at most."""
+    return chunks.agg(F.sum(F.expr("CAST(_tc AS double) * _qc"))).first()[0] * 2 * limits.chunk_rows
+
+
 def _chunked(entries: DataFrame, chunks: DataFrame, on: Sequence[str], own: str, other: str, vector: Sequence[str]) -> DataFrame:
     """Put each entry in one chunk of its side, by its vector, and repeat it for every chunk of the other side."""
     spread = F.pmod(F.xxhash64(*vector), F.coalesce(F.col(own), F.lit(1)).cast("bigint")).cast("int")
@@ -385,7 +431,7 @@ def _chunked(entries: DataFrame, chunks: DataFrame, on: Sequence[str], own: str,
         entries.join(chunks, list(on), "left")
         .withColumn(f"_own{own}", spread)
         .withColumn(f"_own{other}", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)))
-        .drop("_tc", "_qc")
+        .drop("_tc", "_qc", "_cell")
     )
 
 
@@ -398,15 +444,18 @@ def _pairs(
     chunks: DataFrame | None,
     reach: str | None = None,
     parts: int = 0,
+    without: DataFrame | None = None,
 ) -> DataFrame:
     """Test rows with each train row within the grid's radius, or within their own ``reach``, and ``_distance``.
 
     ``parts`` tasks share the meetings of chunks, whose rows are few beside their pairs: by their size adaptive
-    execution would put them all into one task.
+    execution would put them all into one task. Cells of the table ``without`` are left out.
     """
     on = [*categories, *cells.keys()]
     numeric = [name for name in vector if name.startswith("_n")]
     ours, theirs = cells.train(train), cells.test(test, reach)
+    if without is not None:
+        ours, theirs = ours.join(without, on, "left_anti"), theirs.join(without, on, "left_anti")
     if chunks is not None:
         ours = _chunked(ours, chunks, on, "_tc", "_qc", vector)
         theirs = _chunked(theirs, chunks, on, "_qc", "_tc", vector)
@@ -445,3 +494,67 @@ def _nearest(
         .agg(lowest_id("train_id").alias("train_id"))
         .select(*vector, "train_id", "test_id", "n_test", "distance")
     )
+
+
+def _nearest_by_blocks(
+    train: DataFrame,
+    test: DataFrame,
+    cells: _Grid,
+    categories: Sequence[str],
+    vector: Sequence[str],
+    limits: SearchLimits,
+) -> DataFrame:
+    """What ``_nearest`` gives, written, with the hot cells dealt into blocks, so that disk grows with the vectors, not the pairs.
+
+    Vectors travel once and under their numbers; ids join the nearest ones at the end. Blocks hold train vectors by their ids, so that the
+    first of equally near ones is the lowest.
+    """
+    on = [*categories, *cells.keys()]
+    chunks = _chunk_table(_cell_counts(train, test, cells, categories), limits.chunk_rows)
+    hot = chunks.count()
+    hinted = F.broadcast(chunks) if hot <= limits.broadcast_rows else chunks
+    log.info("radius %g, grid on %s: %d cells in blocks", cells.radius, cells.keys(), hot)
+    cut = hinted.select(
+        *on,
+        "_cell",
+        F.ceil(F.col("_tc") * F.lit(limits.chunk_rows) / F.lit(block_rows := blocks.rows_per_block(len(cells.largest), limits.block_rows))).cast("int").alias("_tb"),
+        F.ceil(F.col("_qc") * F.lit(limits.chunk_rows) / F.lit(block_rows)).cast("int").alias("_qb"),
+    )
+    large = F.col("_tb").cast("double") * F.col("_qb") > limits.block_meetings
+    numeric = [name for name in vector if name.startswith("_n")]
+
+    def dealt(entries: DataFrame, some: Column, row: str, own: str, number: float, order: Sequence[Column] = ()) -> DataFrame:
+        entries = entries.join(cut.where(some), on).withColumn("_block", F.pmod(F.xxhash64(row), F.col(own).cast("bigint")).cast("int"))
+        usual = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(usual, min(MAX_PAIR_TASKS, int(number)))
+        return materialize(blocks.blocks(entries, row, numeric, parts, order), "blocks")
+
+    def met(some: Column, within_cell: bool, n_train: float, n_test: float) -> DataFrame:
+        tests = dealt(cells.test(test), some, "_test", "_qb", n_test)
+        trains = dealt(cells.train(train), some, "_train", "_tb", n_train, [F.col("train_id").asc_nulls_first()])
+        found = blocks.met(tests, trains, within_cell, cells.radius, cells.largest)
+        discard(tests, trains)
+        return found
+
+    small = cut.agg(*[F.coalesce(F.sum(F.when(~large, F.col(name))), F.lit(0)).alias(name) for name in ("_tb", "_qb")]).first()
+    found = [met(F.col("_cell") == row["_cell"], False, row["_tb"], row["_qb"]) for row in cut.where(large).select("_cell", "_tb", "_qb").collect()]
+    if small["_tb"]:
+        found.append(met(~large, True, small["_tb"], small["_qb"]))
+
+    hits = train.sparkSession.createDataFrame([], "_test long, _train long, distance double")
+    for some in found:
+        hits = hits.unionByName(some)
+    hits = hits.join(train.select("_train", "train_id"), "_train").select("_test", "train_id", "distance")
+    known = train.select(*vector, "train_id")
+    least = _pairs(known, test, cells, categories, vector, None, without=hinted.select(*on)).groupBy("_test").agg(F.min("_distance").alias("distance"))
+    least = materialize(least, "least")
+    again = test.join(least, "_test")
+    hits = hits.unionByName(
+        _pairs(known, again, cells, categories, vector, None, "distance", without=hinted.select(*on))
+        .groupBy("_test", "distance").agg(lowest_id("train_id").alias("train_id"))
+    )
+    best = hits.groupBy("_test").agg(F.min("distance").alias("distance"))
+    lowest = hits.join(best, ["_test", "distance"]).groupBy("_test", "distance").agg(lowest_id("train_id").alias("train_id"))
+    level = materialize(test.join(lowest, "_test").select(*vector, "train_id", "test_id", "n_test", "distance"), "near")
+    discard(least, chunks, *found)
+    return level

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leakscan.errors import InputError
 from leakscan.functions import hashing
 from leakscan.operators.match import (
-    Matches, SearchLimits, _cell_counts, _choose_grid, _chunk_table, _chunked, _Grid, _measured, _pairs, _parts, _search, _vector_columns, classify, lowest_id, row_id,
+    Matches, SearchLimits, _cell_counts, _choose_grid, _chunk_table, _chunked, _Grid, _measured, _pairs, _parts, _search, _vector_columns, classify, lowest_id, numbered, row_id,
 )
 from leakscan.operators.validate import EMPTY, CheckedInput
 from leakscan.scratch import discard, materialize
@@ -46,10 +46,10 @@ def find_matches_of_splits(
     rows = table.select(*features, *ids, *[side.alias(f"_s{i}") for i, side in enumerate(sides)])
     rows = rows.where(" OR ".join(f"_s{i} IS NOT NULL" for i in numbers))
     vector = [name for name in rows.columns if not name.startswith(("_s", "_id"))]
-    vectors = materialize(_collapsed(rows, vector, len(sides), bool(id_columns)), "vectors")
+    vectors = materialize(numbered(_collapsed(rows, vector, len(sides), bool(id_columns))), "vectors")
     checked = _check(vectors, vector, numeric, categorical, len(sides))
 
-    copies = [_of_split(vectors, vector, i).where((F.col("n_train") > 0) & (F.col("n_test") > 0)).drop("n_train") for i in numbers]
+    copies = [_of_split(vectors, vector, i).where((F.col("n_train") > 0) & (F.col("n_test") > 0)).drop("n_train", "_row") for i in numbers]
     if numeric:
         found = [copy.withColumn("distance", F.lit(0.0)) for copy in copies]
         if near_atol > 0:
@@ -103,7 +103,7 @@ def _check(vectors: DataFrame, vector: Sequence[str], numeric: Sequence[str], ca
 def _of_split(vectors: DataFrame, vector: Sequence[str], number: int) -> DataFrame:
     """Vectors of either side of one split, as ``find_matches`` has them."""
     own = [F.col(f"{name}_{number}").alias(name) for name in ("train_id", "test_id", "n_train", "n_test")]
-    return vectors.select(*vector, *own).where((F.col("n_train") > 0) | (F.col("n_test") > 0))
+    return vectors.select(*vector, *own, "_row").where((F.col("n_train") > 0) | (F.col("n_test") > 0))
 
 
 def _mask(conditions: Sequence[Column]) -> Column:

@@ -42,7 +42,7 @@ def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame
     """Write ``df`` once and return a DataFrame that reads the written table. ``codec`` names a Parquet compression."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/leakscan/{uuid.uuid4().hex}/{name}"
-    with _no_shuffles_left(spark):
+    with with_settings(spark, {CLEANUP: "true"}):
         df.write.parquet(path, compression=codec)
     table = spark.read.schema(df.schema).parquet(path)
     _remember(spark, table, path)
@@ -63,17 +63,22 @@ def _remember(spark: SparkSession, kept: object, path: str) -> None:
 
 
 @contextlib.contextmanager
-def _no_shuffles_left(spark: SparkSession):
-    """Shuffle files go when the query ends, as later steps read the written table; else they stay until the driver collects garbage."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def with_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings that hold within the block, as CLEANUP does for a written table.
+
+    By CLEANUP shuffle files go when the query ends, as later steps read the written table; else they stay until the driver collects garbage.
+    """
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def discard(*tables: DataFrame | str) -> None:

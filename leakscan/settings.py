@@ -45,6 +45,15 @@ MAX_GRID_COLUMNS = 12
 CHUNK_ROWS = 2048
 # Tasks that share the pairs of cut cells, at most; beyond it a task holds more of them.
 MAX_PAIR_TASKS = 10_000
+# Chunks whose vectors would be repeated more often than this, per vector and in all, are dealt into blocks instead.
+COPIES_PER_VECTOR = 1
+MIN_COPIES = 100_000
+# A block has at most so many vectors and bytes of values. The blocks of a cell with more than BLOCK_MEETINGS meetings meet in many tasks,
+# each of which reads about BLOCK_SCAN_BYTES of either side.
+BLOCK_ROWS = 16_384
+BLOCK_BYTES = 8 << 20
+BLOCK_MEETINGS = 16
+BLOCK_SCAN_BYTES = 32 << 20
 
 # Rows that one ordered window may hold when a hash-ranked split looks for its cut-off.
 RANK_BUCKET_ROWS = 100_000
