@@ -45,7 +45,10 @@ from leakscan.settings import (
 )
 from leakscan.sources.pair import TRAIN, SplitPair
 
+# Pairs that take as long to compare as one more copy of a test vector takes to shuffle, or to put into a block. Shuffled copies of
+# more columns than PLAIN_WIDTH cost more in proportion.
 SHUFFLE_COST = 20.0
+PLAIN_WIDTH = 8
 BLOCK_COPY_COST = 50_000.0
 
 log = logging.getLogger(__name__)
@@ -312,7 +315,7 @@ def _choose_grid(train: DataFrame, test: DataFrame, largest: Sequence[float], ra
     gain = {i: max(stats[f"_d{i}"], 1) / copies_of[i] for i in looked_at}
     order = sorted(looked_at, key=lambda i: (-gain[i], i))
     gains = tuple((i, copies_of[i], gain[i]) for i in order[:MAX_GRID_COLUMNS])
-    best = _cheapest(gains, stats["n_train"], SHUFFLE_COST, 1)
+    best = _cheapest(gains, stats["n_train"], SHUFFLE_COST * max(1.0, len(largest) / PLAIN_WIDTH), 1)
     spare = tuple(i for i in order[len(best) : MAX_GRID_COLUMNS] if gain[i] > 1.0)
     return stats["n_train"], stats["n_test"], _Grid(radius, best, tuple(largest), spare, gains)
 
